@@ -3,14 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glyphsphere.llm import decontamination, packing, token_files
+from glyphsphere.llm import decontamination, fingerprints, language, licenses, packing, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language.learn(docs.filter(_crc_mod(4) != 2))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", (_crc_mod(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(_table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("spans")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality.learn(docs, _table(spark, sf_dir, "labels").filter(_crc_mod(5) != 0))
+    found = quality.scored(docs.select("doc_id", "text"), trees).withColumnRenamed("quality_score", "score")
+    return found.select("doc_id", (_crc_mod(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -28,7 +55,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9}
+    return {"op5_licenses": licenses.duckdb_sql(), "op9_decontamination": OP9}
 
 
 OP9 = r"""
