@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from glyphsphere.llm.common import code_points, text_slices
 
-#: Pieces that a worker's table holds before it starts anew.
-TABLE = 1_000_000
+#: Pieces that a worker's table holds before it starts anew (about 30 bytes each).
+TABLE = 4_000_000
 _TOP = 0x180
 _SPACE, _BREAK, _LETTER, _NUMBER, _OTHER = 1, 2, 3, 4, 5
 
@@ -45,6 +45,11 @@ _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: The characters that byte-level BPE writes for the 256 bytes.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
 def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """Powers of the base and of its inverse modulo 2**64."""
     if len(cache.get("p", ())) <= n:
@@ -76,21 +81,28 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
+        self.offset, self.length, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            for h, e in zip(hashes[at : at + 4096], self.tokenizer.encode_batch(pieces[at : at + 4096], add_special_tokens=False), strict=True):
-                slot, ids = len(self.slots), e.ids
-                if slot == len(self.offset):
-                    self.offset, self.length = np.r_[self.offset, self.offset * 0], np.r_[self.length, self.length * 0]
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.r_[self.pool, self.pool * 0]
-                self.slots[h], self.offset[slot], self.length[slot] = slot, self.used, len(ids)
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Adds pieces; their slots. The library's model encodes each piece as it would within a text."""
+        tokenize, shown = self.tokenizer.model.tokenize, _BYTES
+        ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))] for p in pieces]
+        size = np.array([len(x) for x in ids], np.int32)
+        flat = np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum()))
+        while self.many + len(ids) > len(self.offset):
+            self.offset, self.length = np.r_[self.offset, self.offset * 0], np.r_[self.length, self.length * 0]
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.r_[self.pool, self.pool * 0]
+        slots = np.arange(self.many, self.many + len(ids), dtype=np.int32)
+        self.offset[slots], self.length[slots] = self.used + np.cumsum(size) - size, size
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.many, self.used = self.many + len(ids), self.used + len(flat)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.slots = np.insert(self.hashes, at, hashes[order]), np.insert(self.slots, at, slots[order])
+        return slots
 
     def _pieces(self, cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each piece, the code points as they are hashed, and which rows need the library."""
@@ -148,18 +160,19 @@ class Encoder:
             sums = np.zeros(len(cps) + 1, np.uint64)
             np.cumsum((folded.astype(np.uint64) + np.uint64(7)) * power[: len(cps)], out=sums[1:])
             h = (sums[to] - sums[at]) * inverse[at] ^ (to - at).astype(np.uint64) << np.uint64(48)
-            ids, first = pa.array(h).dictionary_encode(), None
-            index, distinct = ids.indices.to_numpy(), ids.dictionary.to_pylist()
-            if len(self.slots) + len(distinct) > TABLE:
+            ids = pa.array(h).dictionary_encode()
+            index, distinct = ids.indices.to_numpy(), ids.dictionary.to_numpy()
+            if self.many + len(distinct) > TABLE:
                 self._reset()
-            slot = np.fromiter((self.slots.get(x, -1) for x in distinct), np.int64, len(distinct))
-            if (new := np.flatnonzero(slot < 0)).size:
+            place = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+            known = self.hashes[place] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+            slot = np.zeros(len(distinct), np.int32)
+            slot[known] = self.slots[place[known]] if known.any() else 0
+            if (new := np.flatnonzero(~known)).size:
                 first = np.zeros(len(distinct), np.int64)
                 first[index[::-1]] = np.arange(len(index))[::-1]
-                text = cps.tobytes().decode("utf-32-le")
-                base = len(self.slots)
-                self._learn([distinct[i] for i in new], [text[at[k] : to[k]] for k in first[new]])
-                slot[new] = np.arange(base, base + len(new))
+                text = folded.astype(np.uint32).tobytes().decode("utf-32-le")
+                slot[new] = self._learn(distinct[new], [text[at[k] : to[k]] for k in first[new]])
             slot = slot[index]
             length = self.length[slot]
             ends = np.cumsum(length)
