@@ -184,6 +184,85 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, hashes array<long>, counts array<int>")
 
 
+def _own_share(features: DataFrame) -> DataFrame:
+    """(digest, own): share of a text's weight in shingles that no other row has."""
+    ones = F.transform("hashes", lambda h: F.lit(1))
+    rows = features.select("digest", F.explode_outer(F.arrays_zip("hashes", F.coalesce("counts", ones).alias("counts"))).alias("s")).select("digest", "s.hashes", "s.counts")
+    single = rows.groupBy("hashes").agg(F.count("*").alias("n"), F.first("digest").alias("digest"), F.first("counts").alias("w")).filter("n = 1")
+    own = single.groupBy("digest").agg(F.sum("w").alias("w"))
+    total = features.select("digest", F.aggregate(F.coalesce("counts", ones), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return total.join(own, "digest", "left").select("digest", (F.coalesce("w", F.lit(0)) / F.col("total")).alias("own"))
+
+
+#: Texts of a bucket that the others stream past at once; members of one task.
+RESIDUE, SHARE = 512, 1024
+
+
+def _streamed_links(members: DataFrame, lo: int, features: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between different roots, one end with a rank in [lo, lo + RESIDUE); per text and root of the others
+    the closest one.
+
+    The ranked texts of a bucket go to each of its shares; there they form an inverted index, and the share's members
+    stream past it and are compared exactly. So a bucket is read once per block and never paired out in rows.
+    """
+    share = members.groupBy("key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    rows = members.join(share, "key")
+    inside = (F.col("rank") >= lo) & (F.col("rank") < lo + RESIDUE)
+    index = rows.filter(inside).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "root", "rank", "digest")
+    passing = rows.select("key", F.pmod(F.xxhash64("digest"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), "root", "rank", "digest")
+    both = index.unionByName(passing).join(features, "digest").repartition("key", "share").sortWithinPartitions("key", "share", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hubs, table = None, [], None
+        names = ["key", "share", "role", "root", "rank", "digest", "hashes", "counts"]
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for row in zip(*(batch.column(batch.schema.get_field_index(n)) for n in names), strict=True):
+                at = (row[0].as_py(), row[1].as_py())
+                if at != group:
+                    group, hubs, table = at, [], None
+                h = row[6].values.to_numpy().view(np.uint64)
+                w = row[7].values.to_numpy().astype(float) if row[7].is_valid else np.ones(len(h))
+                one = (row[3].as_py(), row[4].as_py(), row[5].as_py(), h, w)
+                if row[2].as_py() == 0:
+                    hubs.append(one)
+                    continue
+                if table is None:
+                    flat = np.concatenate([x[3] for x in hubs])
+                    order = np.argsort(flat, kind="stable")
+                    owner = np.repeat(np.arange(len(hubs)), [len(x[3]) for x in hubs])[order]
+                    weight = np.concatenate([x[4] for x in hubs])[order]
+                    table = flat[order], owner, weight, np.array([x[4].sum() for x in hubs]), np.array([x[1] for x in hubs])
+                out += _closest(one, hubs, table, similarity)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return both.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _closest(one: tuple, hubs: list[tuple], table: tuple, similarity: float) -> list[tuple[bytes, bytes]]:
+    """A text's closest link to each root but its own, among the indexed texts."""
+    flat, owner, weight, totals, ranks = table
+    root, rank, digest, h, w = one
+    first, last = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+    many = last - first
+    place = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    mine = np.bincount(owner[place], np.repeat(w, many), len(hubs))
+    theirs = np.bincount(owner[place], weight[place], len(hubs))
+    # with common shares p and q of the two weights, it is at most 1 / (1 / p + 1 / q - 1); with unit weights just that
+    with np.errstate(divide="ignore"):
+        bound = 1 / (w.sum() / mine + totals / theirs - 1)
+    bound = np.where((mine > 0) & (ranks != (-1 if rank is None else rank)), bound, 0)
+    best: dict[bytes, tuple[float, bytes]] = {}
+    for k in np.flatnonzero(bound >= similarity - 1e-12):
+        _, _, name, g, v = hubs[k]
+        if hubs[k][0] != root and (hubs[k][0] not in best or bound[k] > best[hubs[k][0]][0]):
+            near = bound[k] if w.max() == v.max() == 1 else probability_jaccard(h, w, g, v)
+            if near >= similarity - 1e-12:
+                best[hubs[k][0]] = (near, name)
+    return [(digest, d) for _, d in best.values()]
+
+
 def _verified(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are as similar as asked."""
     one = features.select(F.col("digest").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
@@ -211,10 +290,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_col: str = "doc
     are each a class of their own, class_id being their doc_id. Rows with a null id take part; a class of such rows
     alone has a null class_id. Other columns are ignored.
 
-    Copies are one node from the start. Within a band's bucket not all pairs are compared: first every node with one hub
-    (the text with the most copies), then, until nothing is left, those that aren't in the hub's component with all
-    nodes of other components, in blocks. A pair in one component already needs no comparison, so no link that would
-    join two components is lost.
+    Copies are one node from the start. A text more than 0.2 of whose shingles' weight no other candidate holds can have
+    no link, as the probability Jaccard is at most the common share of either side; such texts leave the buckets. Within
+    a band's bucket not all pairs are compared: first every node with one hub (the text with the least weight of its
+    own), then, until nothing is left, those that aren't in the hub's component with all nodes of other components, in
+    blocks. A pair in one component already needs no comparison, so no link that would join two components is lost.
     """
     out = _classed(docs, similarity, doc_col, text_col)
     return out.select(F.col("doc").alias(doc_col), F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("class")).alias("class_id"))
@@ -239,39 +319,38 @@ def _classed(docs: DataFrame, similarity: float, doc_col: str, text_col: str) ->
     signs = materialize(signed(docs, doc_col, text_col), "signatures")
     nodes = signs.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
     nodes = materialize(nodes, "texts")
-    placed = nodes.select("digest", "n", F.explode("bands").alias("key"))
-    hub = placed.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "digest")).alias("hub")).filter("size > 1")
-    hub = materialize(hub.select("key", F.col("hub.digest").alias("hub")), "hubs")
-    members = materialize(placed.join(broadcast_checked(hub), "key").select("key", "hub", "digest"), "members")
-    wanted = materialize(members.select("digest").distinct().join(nodes.select("digest", "doc"), "digest"), "wanted")
+    placed = nodes.select("digest", F.explode("bands").alias("key"))
+    shared = materialize(placed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key"), "buckets")
+    met = materialize(placed.join(broadcast_checked(shared), "key"), "met")
+    wanted = materialize(met.select("digest").distinct().join(nodes.select("digest", "doc"), "digest"), "wanted")
     features = materialize(_features(_keyed(docs, doc_col, text_col), wanted), "shingles")
     if features.count() > wanted.count():  # rows that are repeated
         features = materialize(features.dropDuplicates(["digest"]), "shingles")
+    own = materialize(_own_share(features).filter(F.col("own") <= 1 - similarity + 1e-9), "own-shares")
+    alive = met.join(broadcast_checked(own), "digest")
+    hub = alive.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("own", "digest")).alias("hub")).filter("size > 1")
+    members = materialize(alive.join(broadcast_checked(hub.select("key", F.col("hub.digest").alias("hub"))), "key").select("key", "hub", "digest"), "members")
     pairs = members.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
     links = materialize(_verified(pairs, features, similarity), "links")
     found = components(links)
 
     # buckets whose members aren't all in one component yet
-    lo, hi = 0, 4
+    lo, ranked = 0, None
     while True:
         root = broadcast_checked(found.withColumnRenamed("node", "digest"))
         now = members.join(root, "digest", "left").select("key", "hub", "digest", F.coalesce("root", "digest").alias("root"))
         hubs = now.filter("digest = hub").select("key", F.col("root").alias("hub_root"))
-        rest = now.join(hubs, "key").filter("root <> hub_root")
-        if lo == 0:  # the order of the rest is fixed once
-            order = Window.partitionBy("key").orderBy("digest")
-            ranked = materialize(rest.withColumn("rank", F.row_number().over(order) - 1).select("key", "digest", "rank"), "rest")
-        block = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < hi))
+        if ranked is None:  # the order of the rest is fixed once
+            rest = now.join(hubs, "key").filter("root <> hub_root").select("key", "digest")
+            ranked = materialize(rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1), "rest")
+        block = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + RESIDUE))
         if not block.limit(1).count():
             break
-        left = block.join(now.select("key", "digest", "root"), ["key", "digest"]).select("key", F.col("digest").alias("a"), F.col("root").alias("ra"), "rank")
-        right = now.join(ranked.withColumnRenamed("rank", "other"), ["key", "digest"], "left").filter("digest <> hub")
-        todo = left.join(right, "key").filter((F.col("ra") != F.col("root")) & (F.col("other").isNull() | (F.col("other") > F.col("rank"))))
-        todo = materialize(todo.select("a", F.col("digest").alias("b")).distinct(), "pairs")
-        links = materialize(_verified(todo, features, similarity), "links")
+        open_ = materialize(now.filter("digest <> hub").join(ranked, ["key", "digest"], "left").join(block.select("key").distinct(), "key", "left_semi"), "open")
+        links = materialize(_streamed_links(open_, lo, features, similarity), "links")
         if links.limit(1).count():
             found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        lo, hi = hi, hi * 8
+        lo += RESIDUE
 
     least = nodes.join(broadcast_checked(found.withColumnRenamed("node", "digest")), "digest", "left").select("digest", "doc", F.coalesce("root", "digest").alias("root"))
     least = materialize(least, "roots")
