@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -239,7 +240,7 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
             w = text.split(" ")
             return sorted({_class(w[i : i + WINDOW], k) for i in range(len(w) - WINDOW + 1)})
 
-        return piece.combine(parts, of)
+        return pd.Series([of(text, k) for text, k in zip(piece, parts, strict=True)])
 
     parts = F.ceil(F.col("n") / SHARD).cast("int")
     combined = cuts.groupBy("h", "piece", parts.alias("parts"), "p", "q").agg(F.min(F.struct("doc", "version", "start")).alias("place"), F.count("*").alias("n"))
