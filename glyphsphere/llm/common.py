@@ -58,6 +58,15 @@ def _drop_all() -> None:
             return
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark's cleaner drop the shuffle files of finished plans
+    (it does so when the driver collects garbage)."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop_path(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from glyphsphere.llm.common import broadcast_checked, code_points, materialize, text_slices
+from glyphsphere.llm.common import code_points, materialize, release, text_slices
 from glyphsphere.llm.near_dedup import _A, _mix, _powers
 
 #: Words of a window and of a minimizer gram; occurrences of a minimizer above which its shard is split.
@@ -209,11 +209,15 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     Equal pieces are one row of a shard, whatever their number: the shuffle combines them before it sends them.
     """
     rows = _keyed(docs, doc_col, text_col)
-    often = _occurrences(rows).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    spark = docs.sparkSession
+    often = materialize(_occurrences(rows).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "frequent")
     found = materialize(_occurrences(rows).join(often, "h"), "minimizers")
+    release(spark, often)
     by_doc = found.groupBy("doc", "version").agg(F.collect_list(F.struct("h", "n", "first", "last")).alias("pieces"))
-    by_doc = broadcast_checked(materialize(by_doc, "candidates").select(F.col("doc").alias("d"), F.col("version").alias("v"), "pieces"), 100_000)
-    with_text = rows.join(by_doc, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc", "version", "text", "pieces")
+    by_doc = materialize(by_doc, "candidates")
+    release(spark, found)
+    own = by_doc.select(F.col("doc").alias("d"), F.col("version").alias("v"), "pieces")
+    with_text = rows.join(own, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc", "version", "text", "pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "n", "doc", "version", "start", "piece"]
@@ -231,6 +235,7 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
 
     cuts = with_text.mapInArrow(cut, "h long, n long, doc long, version long, start int, piece string")
     cuts = materialize(cuts.withColumns({"p": F.xxhash64("piece"), "q": F.hash("piece")}), "pieces")
+    release(spark, by_doc)
 
     @F.pandas_udf("array<int>")
     def parts_of(piece, parts):
@@ -248,11 +253,15 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     dealt = dealt.select("h", "part", "parts", "piece", "p", "q", "place.*", "n").repartition("h", "part").sortWithinPartitions("h", "part", "doc", "version", "start")
     kind = "h long, part int, p long, q int, from int, to int, doc long, version long, start int"
     segments = materialize(dealt.mapInArrow(_resolved, kind), "segments")
+    release(spark)
     source = F.struct(F.col("s.doc").alias("doc"), F.col("s.version").alias("version"), (F.col("s.start") - F.col("s.from")).alias("start"))
     late = cuts.select("h", "p", "q", "doc", "version", "start").alias("c").join(segments.alias("s"), ["h", "p", "q"])
     late = late.filter(source < F.struct(F.col("c.doc").alias("doc"), F.col("c.version").alias("version"), F.col("c.start").alias("start")))
     span = F.struct((F.col("c.start") + F.col("s.from")).alias("first"), (F.col("c.start") + F.col("s.to") + WINDOW).alias("end"))
-    return late.select(F.col("c.doc").alias("doc"), F.col("c.version").alias("version"), span.alias("span")).groupBy("doc", "version").agg(F.collect_list("span").alias("spans"))
+    late = late.select(F.col("c.doc").alias("doc"), F.col("c.version").alias("version"), span.alias("span")).groupBy("doc", "version").agg(F.collect_list("span").alias("spans"))
+    late = materialize(late, "spans")
+    release(spark, cuts, segments)
+    return late
 
 
 def deduplicated(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,11 +269,11 @@ def deduplicated(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
 
     All rows and other columns stay. Null text: null, no words. Texts of fewer than 20 words lose nothing.
     """
-    spans = materialize(repeated_spans(docs, doc_col, text_col), "spans").select(F.col("doc").alias("__d"), F.col("version").alias("__v"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(docs, doc_col, text_col).select(F.col("doc").alias("__d"), F.col("version").alias("__v"), F.col("spans").alias("__spans"))
     docs = docs.drop("n_words", "n_removed")
     names = docs.columns
     keyed = docs.withColumn("__doc", F.col(doc_col).cast("long")).withColumn("__version", F.xxhash64(text_col))
-    joined = keyed.join(broadcast_checked(spans, 200_000), F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*names, "__spans")
+    joined = keyed.join(spans, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__version") == F.col("__v")), "left").select(*names, "__spans")
     at = names.index(text_col)
     fields = [StructField(text_col, StringType()) if f.name == text_col else f for f in docs.schema.fields]
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType())])
