@@ -67,11 +67,19 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors."""
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors. ``tidy``:
+    Spark deletes the shuffle files once the table is written, whatever the driver's garbage collector does."""
     spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
+    path, before = new_path(spark, what), spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -210,11 +210,11 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     """
     rows = _keyed(docs, doc_col, text_col)
     spark = docs.sparkSession
-    often = materialize(_occurrences(rows).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "frequent")
-    found = materialize(_occurrences(rows).join(often, "h"), "minimizers")
+    often = materialize(_occurrences(rows).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "frequent", tidy=True)
+    found = materialize(_occurrences(rows).join(often, "h"), "minimizers", tidy=True)
     release(spark, often)
     by_doc = found.groupBy("doc", "version").agg(F.collect_list(F.struct("h", "n", "first", "last")).alias("pieces"))
-    by_doc = materialize(by_doc, "candidates")
+    by_doc = materialize(by_doc, "candidates", tidy=True)
     release(spark, found)
     own = by_doc.select(F.col("doc").alias("d"), F.col("version").alias("v"), "pieces")
     with_text = rows.join(own, F.col("doc").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc", "version", "text", "pieces")
@@ -234,7 +234,7 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     cuts = with_text.mapInArrow(cut, "h long, n long, doc long, version long, start int, piece string")
-    cuts = materialize(cuts.withColumns({"p": F.xxhash64("piece"), "q": F.hash("piece")}), "pieces")
+    cuts = materialize(cuts.withColumns({"p": F.xxhash64("piece"), "q": F.hash("piece")}), "pieces", tidy=True)
     release(spark, by_doc)
 
     @F.pandas_udf("array<int>")
@@ -252,14 +252,14 @@ def repeated_spans(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     dealt = combined.filter("parts = 1").withColumn("part", F.lit(0)).unionByName(combined.filter("parts > 1").withColumn("part", F.explode(parts_of("piece", "parts"))))
     dealt = dealt.select("h", "part", "parts", "piece", "p", "q", "place.*", "n").repartition("h", "part").sortWithinPartitions("h", "part", "doc", "version", "start")
     kind = "h long, part int, p long, q int, from int, to int, doc long, version long, start int"
-    segments = materialize(dealt.mapInArrow(_resolved, kind), "segments")
+    segments = materialize(dealt.mapInArrow(_resolved, kind), "segments", tidy=True)
     release(spark)
     source = F.struct(F.col("s.doc").alias("doc"), F.col("s.version").alias("version"), (F.col("s.start") - F.col("s.from")).alias("start"))
     late = cuts.select("h", "p", "q", "doc", "version", "start").alias("c").join(segments.alias("s"), ["h", "p", "q"])
     late = late.filter(source < F.struct(F.col("c.doc").alias("doc"), F.col("c.version").alias("version"), F.col("c.start").alias("start")))
     span = F.struct((F.col("c.start") + F.col("s.from")).alias("first"), (F.col("c.start") + F.col("s.to") + WINDOW).alias("end"))
     late = late.select(F.col("c.doc").alias("doc"), F.col("c.version").alias("version"), span.alias("span")).groupBy("doc", "version").agg(F.collect_list("span").alias("spans"))
-    late = materialize(late, "spans")
+    late = materialize(late, "spans", tidy=True)
     release(spark, cuts, segments)
     return late
 
