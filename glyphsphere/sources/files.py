@@ -18,8 +18,8 @@ REQUEST = "custom_id string, method string, url string, body string, _corrupt st
 
 def texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, text) of whole text files, recursively, whose name fits the pattern."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
@@ -84,19 +84,19 @@ def tensor_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_index(spark: SparkSession, path: str) -> DataFrame:
     """(tensor, file) of a sharded model's index."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.explode(F.from_json(F.get_json_object("value", "$.weight_map"), "map<string,string>")).alias("tensor", "file"))
 
 
 def tokenizer_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(token, id) of a tokenizer file."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.explode(F.from_json(F.get_json_object("value", "$.model.vocab"), "map<string,bigint>")).alias("token", "id"))
 
 
 def tokenizer_merges(spark: SparkSession, path: str) -> DataFrame:
     """(rank, left, right) of a tokenizer file whose merges are texts or pairs."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     pairs = F.from_json(F.get_json_object("value", "$.model.merges"), "array<string>")
     rows = doc.select(F.posexplode(pairs).alias("rank", "m")).withColumn("p", F.coalesce(F.from_json("m", "array<string>"), F.split("m", " ")))
     return rows.select("rank", F.col("p")[0].alias("left"), F.col("p")[1].alias("right"))
@@ -104,7 +104,7 @@ def tokenizer_merges(spark: SparkSession, path: str) -> DataFrame:
 
 def vocab_lines(spark: SparkSession, path: str) -> DataFrame:
     """(token, id) of a vocabulary with one token a line; the id is the line's number from 0."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return doc.select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("id", "token")).select("token", F.col("id").cast("bigint").alias("id"))
 
 
@@ -126,7 +126,7 @@ def flattened_config(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for text in batch.column(0).to_pylist() for r in walk("", json.loads(text))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["key", "value"])
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(run, "key string, value string")
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "key string, value string")
 
 
 def batch_requests(spark: SparkSession, path: str) -> DataFrame:

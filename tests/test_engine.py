@@ -75,10 +75,14 @@ def test_atoms_on_sphere(spark):
     assert atoms.codepoints(spark).count() == 1_112_064
 
 
-def test_frechet_orders_words(spark):
-    rows = atoms.frechet_pairs(spark.createDataFrame([("hello",), ("hallo",), ("world",)], "text string")).collect()
-    d = {(r["a"], r["b"]): r["distance"] for r in rows}
-    assert d["hello", "hallo"] < d["hello", "world"]
+def test_frechet_is_a_symmetric_bound_of_the_ends(spark):
+    words = ["hello", "hallo", "world"]
+    d = {(r["a"], r["b"]): r["distance"] for r in atoms.frechet_pairs(spark.createDataFrame([(w,) for w in words], "text string")).collect()}
+    p = {r["codepoint"]: (r["x"], r["y"], r["z"], r["m"]) for r in atoms.points(spark).filter("codepoint < 200").collect()}
+    for (a, b), v in d.items():
+        ends = max(math.dist(p[ord(a[0])], p[ord(b[0])]), math.dist(p[ord(a[-1])], p[ord(b[-1])]))
+        assert v == d[b, a] and v >= ends - 1e-6
+    assert abs(d["hello", "hallo"] - math.dist(p[ord("e")], p[ord("a")])) < 1e-5 or d["hello", "hallo"] < math.dist(p[ord("e")], p[ord("a")])
 
 
 def test_seed_is_idempotent(spark, tmp_path, monkeypatch):
