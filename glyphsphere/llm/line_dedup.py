@@ -1,4 +1,4 @@
-"""Line dedup: content-defined chunks of lines; chunks of several lines that occur earlier in the corpus are removed."""
+"""Line dedup: lines that occur earlier in the corpus together with a neighbour are removed, so every repeated run of lines goes."""
 
 from __future__ import annotations
 
@@ -20,7 +20,8 @@ _PRIME, _MASK = 0x9E3779B1, (1 << 32) - 1
 
 def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[list[str]]:
     """The text's lines in content-defined chunks. The hash rolls over the last ``window`` lines, so a boundary depends on
-    nothing before them, and a passage that is moved keeps its boundaries."""
+    nothing before them, and a passage that is moved keeps its boundaries. ``deduplicated`` does not use them: most repeated
+    runs are shorter than what lies between the boundaries around them."""
     out: list[list[str]] = [[]]
     drop = pow(_PRIME, window, 1 << 32)
     hashes, rolling = [], 0
@@ -34,56 +35,65 @@ def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> list[list
     return out if out[-1] else out[:-1]
 
 
-def _several(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """(h, doc, version, pos, chunk): the chunks of two lines and more; pos counts all chunks of the text."""
+def _pairs(docs: DataFrame, texts: bool) -> DataFrame:
+    """(h, doc, version, pos, pair): every two lines that follow one another, by the first one's number; ``pair`` (their
+    text) only if ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["h", "doc", "version", "pos", "chunk"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-        for batch in batches:
-            out = []
-            for doc, version, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for pos, lines in enumerate(chunks(text or "", window, divisor)):
-                    if len(lines) > 1:
-                        chunk = "\n".join(lines)
-                        out.append((hashlib.blake2b(chunk.encode(), digest_size=16).digest(), doc, version, pos, chunk))
-            for lo in range(0, len(out), 20_000):
-                cols = zip(*out[lo : lo + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    return docs.mapInArrow(run, "h binary, doc long, version long, pos int, chunk string")
+        names, kinds = ["h", "doc", "version", "pos", "pair"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-def repeats(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, positions): which chunks of which texts occur, byte for byte, at an earlier place.
-
-    Places are ordered by (doc_id, hash of the text, position), null ids first; rows equal in id and text are one place. Chunk
-    hashes (128 bits) that occur once are left out first; the texts of the others are grouped by their bytes. Only
-    counts per hash and each chunk's first place are shuffled, so a chunk that a third of the rows hold is one row a task.
+        out: list[tuple] = []
+        for batch in batches:
+            for doc, version, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                lines = text.split("\n")
+                for pos in range(len(lines) - 1):
+                    pair = lines[pos] + "\n" + lines[pos + 1]
+                    out.append((hashlib.blake2b(pair.encode(), digest_size=16).digest(), doc, version, pos, pair if texts else None))
+                    if len(out) == 20_000:
+                        yield packed(out)
+                        out = []
+        if out:
+            yield packed(out)
+
+    return docs.mapInArrow(run, "h binary, doc long, version long, pos int, pair string")
+
+
+def repeats(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, version, positions): which lines of which texts begin two lines that occur, byte for byte, at an earlier place
+    that shares no line with this one.
+
+    Places are ordered by (doc_id, hash of the text, position), null ids first; rows equal in id and text are one place.
+    Hashes (128 bits) that occur once are left out first; the texts of the others are grouped by their bytes. Only
+    counts per hash and each pair's first place are shuffled, so a pair that a third of the rows hold is one row a task.
     """
     docs = docs.select(F.col(doc_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    rows = _several(docs, window, divisor)
-    often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    often = materialize(often, "repeated-chunks")
+    often = _pairs(docs, False).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    often = materialize(often, "repeated-pairs")
     place = F.struct("doc", "version", "pos")
-    some = materialize(rows.join(broadcast_checked(often), "h").select("h", place.alias("place"), "chunk"), "chunks")
-    first = some.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    some = materialize(_pairs(docs, True).join(broadcast_checked(often), "h").select("h", place.alias("place"), "pair"), "pairs")
+    first = some.groupBy("h", "pair").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     by_hash = first.groupBy("h").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n"))
     by_hash = materialize(by_hash, "first-places")
+    # three equal lines hold the pair twice, but the second shares a line with the first
+    later = "place > first AND NOT (place.doc <=> first.doc AND place.version = first.version AND place.pos = first.pos + 1)"
     # one text a hash: the bytes are equal, and the hash will do for the join
-    late = some.select("h", "place").join(broadcast_checked(by_hash.filter("texts = 1 AND n > 1").select("h", "first")), "h").filter("place > first").select("place")
+    late = some.select("h", "place").join(broadcast_checked(by_hash.filter("texts = 1 AND n > 1").select("h", "first")), "h").filter(later).select("place")
     if by_hash.filter("texts > 1").limit(1).count():
         mixed = some.join(by_hash.filter("texts > 1").select("h"), "h", "left_semi")
-        late = late.unionByName(mixed.join(first.select("h", "chunk", "first"), ["h", "chunk"]).filter("place > first").select("place"))
+        late = late.unionByName(mixed.join(first.select("h", "pair", "first"), ["h", "pair"]).filter(later).select("place"))
     return late.distinct().groupBy("place.doc", "place.version").agg(F.sort_array(F.collect_list("place.pos")).alias("positions"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks cut out of the text, and ``n_lines``, ``n_removed``.
+def deduplicated(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated runs of two lines and more cut out of the text, and ``n_lines``, ``n_removed``.
 
-    All rows and columns stay; a text whose chunks are all repeated becomes empty, a null text stays null (0 lines). An
-    empty text is one empty line.
+    All rows and columns stay; a text whose lines are all repeated becomes empty, a null text stays null (0 lines). An
+    empty text is one empty line. The first place of each line is never cut.
     """
-    late = materialize(repeats(docs, window, divisor, doc_col, text_col), "line-repeats").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("positions").alias("__cut"))
+    late = materialize(repeats(docs, doc_col, text_col), "line-repeats").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("positions").alias("__cut"))
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     keyed = docs.withColumn("__key", F.col(doc_col).cast("long")).withColumn("__text_hash", F.xxhash64(text_col))
@@ -99,13 +109,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
                 n = text.count("\n") + 1 if text is not None else 0
                 removed = 0
                 if cut and text is not None:
-                    out, skip = [], set(cut)
-                    for pos, lines in enumerate(chunks(text, window, divisor)):
-                        if pos in skip:
-                            removed += len(lines)
-                        else:
-                            out += lines
-                    text = "\n".join(out)
+                    skip = {pos + i for pos in cut for i in (0, 1)}
+                    removed = len(skip)
+                    text = "\n".join(line for pos, line in enumerate(text.split("\n")) if pos not in skip)
                 texts.append(text)
                 total.append(n)
                 gone.append(removed)

@@ -86,6 +86,30 @@ def test_line_dedup_against_brute_force(spark):
     assert got == want and sum(n for _, n in want.values()) > 0
 
 
+def brute_runs(rows):
+    """Lines of each text that lie in a run of two and more that begins earlier and ends before this one begins."""
+    seen, out = {}, {}
+    for doc, version, text in sorted(rows):
+        lines = text.split("\n")
+        gone = [False] * len(lines)
+        for i in range(len(lines) - 1):
+            first = seen.setdefault(tuple(lines[i : i + 2]), (doc, version, i))
+            if first[:2] != (doc, version) or i > first[2] + 1:
+                gone[i : i + 2] = [True] * 2
+        out[doc] = ("\n".join(x for x, g in zip(lines, gone, strict=True) if not g), sum(gone))
+    return out
+
+
+def test_line_dedup_removes_whole_runs(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    more = [(10**6 + i, t) for i, t in enumerate(["p\nq\nr", "u\np\nq\nv", "q\nr\nw", "r\nq", "e\ne\ne", "f\nf\nf\nf", "g\ne\ne\ne", "p\nx\nq"])]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    want = brute_runs([tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(text)", "text").collect()])
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.deduplicated(docs).collect()}
+    assert got == want
+    assert [got[k] for k, _ in more] == [("p\nq\nr", 0), ("u\nv", 2), ("w", 2), ("r\nq", 0), ("e\ne\ne", 0), ("f\nf", 2), ("g", 3), ("p\nx\nq", 0)]
+
+
 def test_line_boundaries_resist_shifts():
     lines = [f"line {i} {i * i % 97}" for i in range(60)]
     plain = {"\n".join(c) for c in line_dedup.chunks("\n".join(lines))}
