@@ -72,7 +72,7 @@ def statistics(column: pa.Array) -> np.ndarray:
                 x[i, 16] = len(set(lines)) / len(lines)
                 x[i, 17] = max(map(len, words), default=0)
                 x[i, 18] = stops[i] / len(lines)
-                x[i, 19] = sum(map(str.istitle, words[:: max(1, len(words) // 256)])) / max(1, len(words[:: max(1, len(words) // 256)]))
+                x[i, 19] = sum(map(str.istitle, words)) / n
                 x[i, 20] = (counts[i, _SYMBOL] + counts[i, _BANG] + counts[i, _BAR]) / n
         x[:, 11] = np.log1p(size)
     return out

@@ -182,6 +182,12 @@ def test_quality_is_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_quality_counts_capital_words_of_whole_texts():
+    texts = ["low High " * 300, "low " * 999 + "High", "Äh " * 5000, "High low", "", None]
+    got = quality.statistics(pa.array(texts))[:, quality.FEATURES.index("capital_words")]
+    assert got.tolist() == [0.5, 0.001, 1, 0.5, 0, 0]
+
+
 def test_trees_learn_and_score_alike():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
