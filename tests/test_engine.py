@@ -1,7 +1,9 @@
 import json
 import math
 import os
+import random
 import struct
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -141,6 +143,37 @@ def test_learners(spark):
     assert len(body) == len(set(body))
 
 
+def brute_merges(text):
+    seq, out = list(text), []
+    while pairs := Counter(zip(seq, seq[1:], strict=False)):
+        (a, b), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        if n < 2:
+            break
+        out.append((len(out), a, b, n))
+        merged, i = [], 0
+        while i < len(seq):
+            size = 2 if seq[i : i + 2] == [a, b] else 1
+            merged.append("".join(seq[i : i + size]))
+            i += size
+        seq = merged
+    return out
+
+
+def test_pair_merges_of_all_documents(spark):
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("ab c"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 80)))
+        assert learners.merges(list(text)) == brute_merges(text)
+    folder = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {}
+    for r in entry.queries()["t10_merges"](spark, folder).collect():
+        got.setdefault(r["doc_id"], []).append((r["step"], r["left"], r["right"], r["n"]))
+    assert set(got) == {k for k, x in docs.items() if learners.merges(list(x or ""))}
+    assert max(got) >= 50 and max(map(len, got.values())) > 20
+    assert all(sorted(got[k]) == brute_merges(docs[k]) for k in got if len(docs[k]) < 1000)
+
+
 def test_elo_modes(spark):
     o = spark.createDataFrame([("a", "b", i, 1.0) for i in range(50)], "src string, dst string, ts long, w double")
     r = relations.elo_fold(o, ["src", "dst"], ["ts"], "w").first()
