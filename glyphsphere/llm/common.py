@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,14 +12,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows that a side may have, at most, to be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a side may have, at most, to be broadcast: as rows in memory, with their place in a hash table.
+BROADCAST_BYTES = 32 << 20
+#: Of a row besides its values: null bits, key copy and pointers of the hash table.
+_ROW_BYTES = 48
 
 
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``limit`` (narrow) rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` bytes, counted over all its rows, else as it is. Columns of
+    variable length count with their values' lengths; use it on tables that are written, or cheap to make twice."""
+    size = F.lit(_ROW_BYTES)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + 16 + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, StructType, MapType)):
+            size = size + 16 + F.octet_length(F.to_json(F.struct(F.col(f.name))))
+        else:
+            size = size + 8
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 _ROOTS: dict[str, str] = {}
@@ -26,10 +40,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset: a new temporary one in local mode; on a cluster an error, as
+    other machines would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="glyphsphere-")
@@ -70,14 +87,14 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, what: str, tidy: bool = False) -> DataFrame:
+def materialize(df: DataFrame, what: str, tidy: bool = False, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors. ``tidy``:
     Spark deletes the shuffle files once the table is written, whatever the driver's garbage collector does."""
     spark = df.sparkSession
     path, before = new_path(spark, what), spark.conf.get(_TIDY, "false")
     spark.conf.set(_TIDY, "true" if tidy else before)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -88,7 +105,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about ``most`` bytes each (one row at least)."""
     n = len(column)
     if not n:
@@ -101,6 +118,11 @@ def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, in
         at = to
 
 
+def fold_table(of, kind=np.uint32) -> np.ndarray:
+    """``of(chr(c))`` for every code point c."""
+    return np.fromiter((of(chr(c)) for c in range(0x110000)), kind, 0x110000)
+
+
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of a string column (null: empty), and each row's start among them, with the end."""
     column = column.fill_null("") if column.null_count else column

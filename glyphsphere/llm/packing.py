@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphsphere.llm.common import materialize
 from glyphsphere.llm.ordering import offsets
-from glyphsphere.llm.token_files import _spec, ordered_ids
-from glyphsphere.llm.tokenization import encoder, public_tokenizer
+from glyphsphere.llm.token_files import Model, encoded_ids, in_order
+from glyphsphere.llm.tokenization import public_tokenizer
 
 #: Tokens of a sequence, at most.
 SEQUENCE = 4096
@@ -23,49 +22,42 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, lengt
 
     The documents' ids, each with the end id, stand one after another in ascending doc_id (nulls last; rows that share
     an id: by their ids) and are cut every ``length`` ids, so only the last sequence can have padding. First pass:
-    ids in buckets of doc_id, each row with the ids of its bucket before it. Second pass: the buckets' totals, summed
-    on the driver (one number a bucket), give the global offset of each row; a row that crosses window ends becomes
-    several pieces. Null or empty text: one piece with the end id. Empty table: no rows.
+    ids in buckets of doc_id, and each bucket's total. Second pass: the totals, summed on the driver (one number a
+    bucket), give where each bucket begins, and its rows are counted on from there in order; a row that crosses window
+    ends becomes several pieces. Null or empty text: one piece with the end id. Repeated rows are packed each. Empty
+    table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    spec = _spec(spark, tokenizer or public_tokenizer("word_bpe_49k.json"))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, bucket, start = encoder(spec.value, end_id), None, 0
-        width = np.dtype(e.dtype).itemsize
-        for batch in batches:
-            buckets = batch.column(0).to_pylist()
-            size = [len(x.as_buffer()) // width for x in batch.column(2)]
-            begin = []
-            for b, n in zip(buckets, size, strict=True):
-                if b != bucket:
-                    bucket, start = b, 0
-                begin.append(start)
-                start += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin, pa.int64()), pa.array(size, pa.int64())], ["bucket", "doc_id", "ids", "begin", "n"])
-
-    rows = ordered_ids(docs, spec, end_id, doc_col, text_col).mapInArrow(placed, "bucket int, doc_id long, ids binary, begin long, n long")
-    rows = materialize(rows, "packing")
-    before = offsets(rows.select("bucket", "n"), "bucket", "n")
+    model = Model(spark, tokenizer or public_tokenizer("word_bpe_49k.json"), end_id)
+    rows, buckets = encoded_ids(docs, model, doc_col, text_col)
+    before, dtype = offsets(rows.select("bucket", "n"), "bucket", "n"), model.dtype
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(spec.value, end_id)
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        kinds = [pa.binary() if x == "ids" else pa.int64() for x in names]
+        bucket, place, out = None, 0, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            out: list[tuple] = []
-            for b, key, raw, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), e.dtype).astype("<u4")
-                at, n, place = 0, len(ids), before[b] + begin
+            for b, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if b != bucket:
+                    bucket, place = b, before[b]
+                ids = np.frombuffer(raw.as_buffer(), dtype).astype("<u4")
+                at, n = 0, len(ids)
                 while at < n:
-                    size = min(n - at, length - (place + at) % length)
-                    out.append((key, at, size, ids[at : at + size].tobytes(), n, (place + at) // length, (place + at) % length))
-                    at += size
-            kinds = [pa.binary() if x == "ids" else pa.int64() for x in names]
-            for lo in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 4096], strict=True), kinds, strict=True)], names)
+                    size = min(n - at, length - place % length)
+                    out.append((key, at, size, ids[at : at + size].tobytes(), n, place // length, place % length))
+                    at, place = at + size, place + size
+                    if len(out) == 512:
+                        yield made()
+                        out = []
+        if out:
+            yield made()
 
     kind = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return rows.select("bucket", "doc_id", "ids", "begin").mapInArrow(cut, kind)
+    return in_order(rows.select("bucket", "doc_id", "ids"), buckets).mapInArrow(cut, kind)
 
 
 def pieces(docs: DataFrame, **kw) -> DataFrame:

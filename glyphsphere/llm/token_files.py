@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphsphere.llm.common import new_path
+from glyphsphere.llm.common import materialize, new_path
 from glyphsphere.llm.ordering import bucket_bounds, bucket_of, offsets
 from glyphsphere.llm.tokenization import encoder, public_tokenizer
 
@@ -55,62 +55,71 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encoded(docs: DataFrame, bounds: np.ndarray, spec, end_id: int) -> DataFrame:
-    """(bucket, doc_id, ids) with ids as little-endian bytes of the encoder's width."""
+class Model:
+    """A tokenizer file's text, for the executors, the end id and the numpy type that holds its ids."""
+
+    def __init__(self, spark: SparkSession, tokenizer: str, end_id: int):
+        with open(tokenizer, encoding="utf-8") as f:
+            spec = f.read()
+        self.spec, self.end_id, self.dtype = spark.sparkContext.broadcast(spec), end_id, np.dtype(encoder(spec, end_id).dtype).str
+
+
+def encoded_ids(docs: DataFrame, model: Model, doc_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """A written table (bucket, doc_id, n, ids), with ids as little-endian bytes of the model's type, and the number of
+    buckets. Each text is encoded once."""
+    docs = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounds = bucket_bounds(docs, "doc_id")
+    spec, end_id = model.spec, model.end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(spec.value, end_id)
         for batch in batches:
             for lo, rows in e.encode(batch.column(1)):
                 key = batch.column(0).slice(lo, len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket_of(bounds, key), pa.int32()), key.cast(pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["bucket", "doc_id", "ids"]
-                )
-
-    return docs.mapInArrow(run, "bucket int, doc_id long, ids binary")
-
+                cols = [pa.array(bucket_of(bounds, key), pa.int32()), key.cast(pa.int64()), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "doc_id", "n", "ids"])
 
-def ordered_ids(docs: DataFrame, spec, end_id: int, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, doc_id, ids): one partition a bucket of ids, each sorted by doc_id (nulls last; ties: by the ids)."""
-    docs = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = bucket_bounds(docs, "doc_id")
-    out = _encoded(docs, bounds, spec, end_id).repartitionById(len(bounds) + 1, F.col("bucket"))
-    return out.sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "ids")
+    return materialize(docs.mapInArrow(run, "bucket int, doc_id long, n long, ids binary"), "ids", compression="zstd"), len(bounds) + 1
 
 
-def _spec(spark: SparkSession, tokenizer: str):
-    with open(tokenizer, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+def in_order(rows: DataFrame, buckets: int) -> DataFrame:
+    """One partition a bucket of ids, each sorted by doc_id (nulls last; ties: by the ids)."""
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "ids")
 
 
-def id_counts(docs: DataFrame, spec, end_id: int, text_col: str = "text") -> DataFrame:
-    """(id, n) over all documents; each task sends one count per id that it has met."""
+def id_counts(rows: DataFrame, dtype: str) -> DataFrame:
+    """(id, n) over all ids of a table; each task sends one count per id that it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, count = encoder(spec.value, end_id), np.zeros(0, np.int64)
+        count = np.zeros(0, np.int64)
         for batch in batches:
-            for _, rows in e.encode(batch.column(0)):
-                seen = np.bincount(np.concatenate(rows))
-                if len(seen) > len(count):
-                    seen[: len(count)] += count
-                    count = seen
-                else:
-                    count[: len(seen)] += seen
+            column = batch.column(0)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            if not len(column) or ends[0] == ends[-1]:
+                continue
+            ids = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype)
+            for lo in range(0, len(ids), 1 << 18):
+                seen = np.bincount(ids[lo : lo + (1 << 18)])
+                count = np.pad(count, (0, max(0, len(seen) - len(count))))
+                count[: len(seen)] += seen
         met = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(count[met], pa.int64())], ["id", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, doc_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the ids of all documents (null text: only the end id) in ascending ``doc_col`` to ``path``.
 
-    Two passes over the texts, as coding needs the whole corpus's frequencies first. What the driver holds: a count
-    per id of the vocabulary, a bound per bucket.
+    Coding needs the whole corpus's frequencies first, so the ids are written once, counted and then coded. What the
+    driver holds: a count per id of the vocabulary, a bound per bucket. Rows that share an id follow one another by
+    their ids; null ids come last. Empty table: no block. Other columns are ignored.
     """
     spark = docs.sparkSession
-    spec = _spec(spark, tokenizer or public_tokenizer("byte_bpe_50k.json"))
-    counts = sorted((-r["n"], r["id"]) for r in id_counts(docs, spec, end_id, text_col).collect())
+    model = Model(spark, tokenizer or public_tokenizer("byte_bpe_50k.json"), end_id)
+    rows, buckets = encoded_ids(docs, model, doc_col, text_col)
+    dtype = model.dtype
+    counts = sorted((-r["n"], r["id"]) for r in id_counts(rows, dtype).collect())
     ids = [i for _, i in counts]
     spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(counts)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max(ids, default=0) + 1, np.uint32)
@@ -118,7 +127,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     rank = spark.sparkContext.broadcast(rank)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, names = encoder(spec.value, end_id), ["bucket", "block", "start", "n_ids", "doc_ids", "doc_tokens", "control", "data", "data_crc32"]
+        names = ["bucket", "block", "start", "n_ids", "doc_ids", "doc_tokens", "control", "data", "data_crc32"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         held: list[tuple[int | None, np.ndarray]] = []
         bucket, block, start, size = None, 0, 0, 0
@@ -136,14 +145,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                     block, start, size, held = block + 1, start + size, 0, []
                 if b != bucket:
                     bucket, block, start = b, 0, 0
-                x = np.frombuffer(raw.as_buffer(), e.dtype)
+                x = np.frombuffer(raw.as_buffer(), dtype)
                 held.append((key, x))
                 size += len(x)
         if held:
             yield close()
 
     kind = "bucket int, block int, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, control binary, data binary, data_crc32 long"
-    ordered_ids(docs, spec, end_id, doc_col, text_col).mapInArrow(blocks, kind).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    in_order(rows.select("bucket", "doc_id", "ids"), buckets).mapInArrow(blocks, kind).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
 

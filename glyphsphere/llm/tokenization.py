@@ -8,6 +8,7 @@ the table lacks. Rows with characters whose treatment numpy's rules don't cover
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ import pyarrow as pa
 
 from glyphsphere.llm.common import code_points, text_slices
 
-#: Pieces that a worker's table holds before it starts anew (about 30 bytes each).
-TABLE = 4_000_000
+#: Bytes of a worker's table of pieces, about, before it starts anew.
+TABLE_BYTES = 24 << 20
 _TOP = 0x180
 _SPACE, _BREAK, _LETTER, _NUMBER, _OTHER = 1, 2, 3, 4, 5
 
@@ -53,7 +54,7 @@ _BYTES = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(sorted(set(r
 def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """Powers of the base and of its inverse modulo 2**64."""
     if len(cache.get("p", ())) <= n:
-        n = max(n + 1, 1 << 21)
+        n = max(n + 1, 1 << 18)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         cache["p"], cache["i"] = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_BASE, inverse))
     return cache["p"], cache["i"]
@@ -64,14 +65,11 @@ class Encoder:
     (spaces go with the next piece, case kept) or ``word`` (white space dropped, lower case); None: whole texts."""
 
     def __init__(self, spec: str, end_id: int):
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_str(spec), end_id
-        made = json.loads(spec)
-        pre, norm = json.dumps(made["pre_tokenizer"] or {}), json.dumps(made["normalizer"] or {})
+        pre, norm = (json.dumps(json.loads(x.__getstate__())) if x else "{}" for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer))
         self.kind = None
         if '"Split"' not in pre and '"use_regex": true' in pre and norm == "{}":
             self.kind = "byte"
@@ -82,7 +80,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by hash
-        self.offset, self.length, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.offset, self.length, self.many = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> np.ndarray:
@@ -143,13 +141,16 @@ class Encoder:
             at, to = at[keep], to[keep]
         return at, to, cps, library
 
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], self.dtype)
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(first row, the rows' ids) for each slice of the column."""
         column = column.fill_null("") if column.null_count else column
         for lo, hi in text_slices(column):
             part = column.slice(lo, hi - lo)
             if self.kind is None:
-                yield lo, [np.array([*e.ids, self.end_id], self.dtype) for e in self.tokenizer.encode_batch(part.to_pylist(), add_special_tokens=False)]
+                yield lo, [self._by_library(t) for t in part.to_pylist()]
                 continue
             cps, starts = code_points(part)
             if not len(cps):
@@ -162,7 +163,7 @@ class Encoder:
             h = (sums[to] - sums[at]) * inverse[at] ^ (to - at).astype(np.uint64) << np.uint64(48)
             ids = pa.array(h).dictionary_encode()
             index, distinct = ids.indices.to_numpy(), ids.dictionary.to_numpy()
-            if self.many + len(distinct) > TABLE:
+            if self.many * 20 + self.used * self.pool.itemsize > TABLE_BYTES:
                 self._reset()
             place = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
             known = self.hashes[place] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
@@ -176,15 +177,13 @@ class Encoder:
             slot = slot[index]
             length = self.length[slot]
             ends = np.cumsum(length)
-            flat = self.pool[np.repeat(self.offset[slot] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+            flat = self.pool[np.repeat(self.offset[slot].astype(np.int64) - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
             bound = np.r_[0, ends][np.searchsorted(at, starts)]
             end = np.array([self.end_id], self.dtype)
             out = [np.concatenate((flat[a:b], end)) for a, b in zip(bound[:-1], bound[1:], strict=True)]
             if library.any():
-                rows = np.flatnonzero(library)
-                texts = [part[int(i)].as_py() for i in rows]
-                for i, e in zip(rows, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                    out[i] = np.array([*e.ids, self.end_id], self.dtype)
+                for i in np.flatnonzero(library).tolist():
+                    out[i] = self._by_library(part[i].as_py())
             yield lo, out
 
 
