@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from glyphsphere.llm.common import code_points, text_slices
+from glyphsphere.llm.common import code_points, fold_table, text_slices
 
 #: N-grams of a profile (of 1 to 3 characters); documents learned from, about, per language.
 PROFILE, SAMPLE_DOCS = 300, 2000
@@ -21,9 +21,8 @@ UNKNOWN = "und"
 def _tables(cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """Of every code point: is it a letter; its lower case (where that is one code point)."""
     if not cache:
-        text = [chr(c) for c in range(0x110000)]
-        cache["letter"] = np.array([c.isalpha() for c in text])
-        cache["lower"] = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in text], np.uint32)
+        cache["letter"] = fold_table(str.isalpha, bool)
+        cache["lower"] = fold_table(lambda c: ord(low) if len(low := c.lower()) == 1 else ord(c))
     return cache["letter"], cache["lower"]
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphsphere.llm.common import broadcast_checked, code_points, materialize, text_slices
+from glyphsphere.llm.common import broadcast_checked, code_points, fold_table, materialize, text_slices
 from glyphsphere.llm.components import components
 
 #: Words of a shingle, similarity of a link; bands and rows: at 0.8 a link is missed with probability 3e-6.
@@ -32,14 +32,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _tables(cache: dict = {}) -> np.ndarray:  # noqa: B006
     """Of every code point: its lower case if it is a letter or digit (and one code point there), else 0."""
     if not cache:
-        text = [chr(c) for c in range(0x110000)]
-        cache["fold"] = np.array([(ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if unicodedata.category(c)[0] in "LN" else 0 for c in text], np.uint64)
+        cache["fold"] = fold_table(lambda c: 0 if unicodedata.category(c)[0] not in "LN" else ord(low) if len(low := c.lower()) == 1 else ord(c))
     return cache["fold"]
 
 
 def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     if len(cache.get("p", ())) <= n:
-        n = max(n + 1, 1 << 21)
+        n = max(n + 1, 1 << 18)
         inverse = np.uint64(pow(int(_A), -1, 1 << 64))
         cache["p"], cache["i"] = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (_A, inverse))
     return cache["p"], cache["i"]
@@ -55,7 +54,7 @@ def shingles(column: pa.Array, n: int = WORDS) -> Iterator[tuple[int, list[tuple
         if not len(cps):
             yield lo, [none] * (hi - lo)
             continue
-        x = fold[cps]
+        x = fold[cps].astype(np.uint64)
         inside = x != 0
         begin, end = inside.copy(), inside.copy()
         inner = starts[(starts > 0) & (starts < len(cps))]
@@ -194,73 +193,84 @@ def _own_share(features: DataFrame) -> DataFrame:
     return total.join(own, "digest", "left").select("digest", (F.coalesce("w", F.lit(0)) / F.col("total")).alias("own"))
 
 
-#: Texts of a bucket that the others stream past at once; members of one task.
-RESIDUE, SHARE = 512, 1024
+#: Texts of a bucket's rest in a slot, about; members of a task, about.
+SLOT, SHARE = 512, 1024
 
 
-def _streamed_links(members: DataFrame, lo: int, features: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between different roots, one end with a rank in [lo, lo + RESIDUE); per text and root of the others
-    the closest one.
+def _streamed_links(index: DataFrame, members: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join all of ``members`` (key, root, digest) with ``index`` (key, slot, root, digest), bucket by bucket.
 
-    The ranked texts of a bucket go to each of its shares; there they form an inverted index, and the share's members
-    stream past it and are compared exactly. So a bucket is read once per block and never paired out in rows.
+    The index of a slot goes to each share of its bucket; there it forms an inverted index, and the share's members stream
+    past it and are compared exactly. Only links that join two components of the share go on: at most as many rows as
+    it has texts, not one per pair, and nothing that joins components is lost.
     """
     share = members.groupBy("key").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    rows = members.join(share, "key")
-    inside = (F.col("rank") >= lo) & (F.col("rank") < lo + RESIDUE)
-    index = rows.filter(inside).select("key", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "root", "rank", "digest")
-    passing = rows.select("key", F.pmod(F.xxhash64("digest"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), "root", "rank", "digest")
-    both = index.unionByName(passing).join(features, "digest").repartition("key", "share").sortWithinPartitions("key", "share", "role")
+    index = index.join(share, "key").select("key", "slot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), "root", "digest")
+    slots = index.select("key", "slot").distinct()
+    passing = members.join(share, "key").withColumn("share", F.pmod(F.xxhash64("digest"), F.col("shares")).cast("int"))
+    passing = passing.join(slots, "key").select("key", "slot", "share", F.lit(1).alias("role"), "root", "digest")
+    both = index.unionByName(passing).join(features, "digest").repartition("key", "slot", "share").sortWithinPartitions("key", "slot", "share", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hubs, table = None, [], None
-        names = ["key", "share", "role", "root", "rank", "digest", "hashes", "counts"]
+        group, index = None, None
+        names = ["key", "slot", "share", "role", "root", "digest", "hashes", "counts"]
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
             for row in zip(*(batch.column(batch.schema.get_field_index(n)) for n in names), strict=True):
-                at = (row[0].as_py(), row[1].as_py())
+                at = (row[0].as_py(), row[1].as_py(), row[2].as_py())
                 if at != group:
-                    group, hubs, table = at, [], None
+                    group, index = at, _Index(similarity)
                 h = row[6].values.to_numpy().view(np.uint64)
                 w = row[7].values.to_numpy().astype(float) if row[7].is_valid else np.ones(len(h))
-                one = (row[3].as_py(), row[4].as_py(), row[5].as_py(), h, w)
-                if row[2].as_py() == 0:
-                    hubs.append(one)
-                    continue
-                if table is None:
-                    flat = np.concatenate([x[3] for x in hubs])
-                    order = np.argsort(flat, kind="stable")
-                    owner = np.repeat(np.arange(len(hubs)), [len(x[3]) for x in hubs])[order]
-                    weight = np.concatenate([x[4] for x in hubs])[order]
-                    table = flat[order], owner, weight, np.array([x[4].sum() for x in hubs]), np.array([x[1] for x in hubs])
-                out += _closest(one, hubs, table, similarity)
+                (index.add if row[3].as_py() == 0 else index.passed)(row[4].as_py(), row[5].as_py(), h, w)
+                if index.links:
+                    out += index.links
+                    index.links = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _closest(one: tuple, hubs: list[tuple], table: tuple, similarity: float) -> list[tuple[bytes, bytes]]:
-    """A text's closest link to each root but its own, among the indexed texts."""
-    flat, owner, weight, totals, ranks = table
-    root, rank, digest, h, w = one
-    first, last = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
-    many = last - first
-    place = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-    mine = np.bincount(owner[place], np.repeat(w, many), len(hubs))
-    theirs = np.bincount(owner[place], weight[place], len(hubs))
-    # with common shares p and q of the two weights, it is at most 1 / (1 / p + 1 / q - 1); with unit weights just that
-    with np.errstate(divide="ignore"):
-        bound = 1 / (w.sum() / mine + totals / theirs - 1)
-    bound = np.where((mine > 0) & (ranks != (-1 if rank is None else rank)), bound, 0)
-    best: dict[bytes, tuple[float, bytes]] = {}
-    for k in np.flatnonzero(bound >= similarity - 1e-12):
-        _, _, name, g, v = hubs[k]
-        if hubs[k][0] != root and (hubs[k][0] not in best or bound[k] > best[hubs[k][0]][0]):
-            near = bound[k] if w.max() == v.max() == 1 else probability_jaccard(h, w, g, v)
-            if near >= similarity - 1e-12:
-                best[hubs[k][0]] = (near, name)
-    return [(digest, d) for _, d in best.values()]
+class _Index:
+    """Texts by their shingles, and the components that the links found so far make of the roots met."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.texts, self.table, self.links = similarity, [], None, []
+        self.label: dict[bytes, int] = {}
+
+    def add(self, root: bytes, digest: bytes, h: np.ndarray, w: np.ndarray) -> None:
+        self.texts.append((self.label.setdefault(root, len(self.label)), digest, h, w))
+
+    def passed(self, root: bytes, digest: bytes, h: np.ndarray, w: np.ndarray) -> None:
+        """Links a text to every other component that has a text as similar as asked, likeliest first."""
+        if self.table is None:
+            flat = np.concatenate([x[2] for x in self.texts])
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(self.texts)), [len(x[2]) for x in self.texts])[order]
+            weight = np.concatenate([x[3] for x in self.texts])[order]
+            self.table = flat[order], owner, weight, np.array([x[3].sum() for x in self.texts]), np.array([x[0] for x in self.texts])
+        flat, owner, weight, totals, label = self.table
+        own = self.label.setdefault(root, len(self.label))
+        if (label == own).all():
+            return
+        first, last = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        many = last - first
+        place = np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        mine = np.bincount(owner[place], np.repeat(w, many), len(self.texts))
+        theirs = np.bincount(owner[place], weight[place], len(self.texts))
+        # with common shares p and q of the two weights, it is at most 1 / (1 / p + 1 / q - 1); with unit weights just that
+        with np.errstate(divide="ignore"):
+            bound = np.where((mine > 0) & (label != own), 1 / (w.sum() / mine + totals / theirs - 1), 0)
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < self.similarity - 1e-12:
+                break
+            _, name, g, v = self.texts[k]
+            was = label[k]
+            if was != own and (w.max() == v.max() == 1 or probability_jaccard(h, w, g, v) >= self.similarity - 1e-12):
+                label[label == was] = own
+                self.label |= {r: own for r, x in self.label.items() if x == was}
+                self.links.append((digest, name))
 
 
 def _verified(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFrame:
@@ -294,7 +304,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_col: str = "doc
     no link, as the probability Jaccard is at most the common share of either side; such texts leave the buckets. Within
     a band's bucket not all pairs are compared: first every node with one hub (the text with the least weight of its
     own), then, until nothing is left, those that aren't in the hub's component with all nodes of other components, in
-    blocks. A pair in one component already needs no comparison, so no link that would join two components is lost.
+    slots. A pair in one component already needs no comparison, so no link that would join two components is lost. Empty
+    table: no rows.
     """
     out = _classed(docs, similarity, doc_col, text_col)
     return out.select(F.col("doc").alias(doc_col), F.when(F.col("digest").isNull(), F.col("doc")).otherwise(F.col("class")).alias("class_id"))
@@ -304,16 +315,46 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, doc_col: str =
     """One row of each class, with all columns: the row with the smallest doc_id (of several texts under it, the one with the
     smallest digest; of equal ones, any). Null texts all stay."""
     classed = _classed(docs, similarity, doc_col, text_col)
-    stay = classed.filter("digest IS NOT NULL").groupBy("class", "root").agg(F.min(F.struct("doc", "digest")).alias("s")).select("s.doc", "s.digest")
-    stay = materialize(stay, "kept")
+    stay = classed.filter("digest IS NOT NULL").groupBy("class", "root").agg(F.min(F.struct("doc", "digest")).alias("s"))
+    stay = materialize(stay.select(F.col("s.doc").alias("__stay_doc"), F.col("s.digest").alias("__stay_digest")), "kept")
     names = docs.columns
     row = docs.withColumn("__doc", F.col(doc_col).cast("long")).withColumn("__digest", F.substring(F.unhex(F.sha2(text_col, 256)), 1, 16))
-    kept = row.join(broadcast_checked(stay), (F.col("__digest") == F.col("digest")) & F.col("__doc").eqNullSafe(F.col("doc")), "left_semi")
+    kept = row.join(broadcast_checked(stay), (F.col("__digest") == F.col("__stay_digest")) & F.col("__doc").eqNullSafe(F.col("__stay_doc")), "left_semi")
     if kept.select("__digest").count() > stay.count():  # rows that are repeated
         kept = kept.groupBy("__doc", "__digest").agg(F.any_value(F.struct(*names)).alias("r")).select("r.*")
     return kept.select(names).unionByName(docs.filter(F.col(text_col).isNull()))
 
 
+def _rest_linked(members: DataFrame, features: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The components ``found`` after the members of each bucket that its hub's component lacks have met all other members.
+
+    That rest is dealt into slots by a hash. A round takes twice as many slots as the one before, so the rounds are about
+    logarithmic in the largest bucket; whoever is in the hub's component by then needs no turn, since of two texts in
+    different components one is outside the hub's.
+    """
+
+    def rooted() -> DataFrame:
+        root = broadcast_checked(found.withColumnRenamed("node", "digest"))
+        now = members.join(root, "digest", "left").select("key", "hub", "digest", F.coalesce("root", "digest").alias("root"))
+        return now.join(broadcast_checked(hubs.join(root.select(F.col("digest").alias("hub"), F.col("root").alias("r")), "hub", "left").select("key", F.coalesce("r", "hub").alias("hub_root"))), "key")
+
+    hubs = materialize(members.select("key", "hub").distinct(), "bucket-hubs")
+    slots = materialize(rooted().filter("root <> hub_root").groupBy("key").agg(F.ceil(F.count("*") / SLOT).alias("slots")), "slots")
+    lo, many = 0, 1
+    while True:
+        now = rooted().join(broadcast_checked(slots), "key").withColumn("slot", F.pmod(F.xxhash64("digest", "key"), F.col("slots")))
+        now = materialize(now.select("key", "hub", "digest", "root", "slot", (F.col("root") != F.col("hub_root")).alias("rest")), "open")
+        least = now.filter(F.col("rest") & (F.col("slot") >= lo)).agg(F.min("slot")).first()[0]
+        if least is None:
+            return found
+        index = now.filter(F.col("rest") & (F.col("slot") >= least) & (F.col("slot") < least + many))
+        others = now.filter("digest <> hub").join(index.select("key").distinct(), "key", "left_semi")
+        links = materialize(_streamed_links(index.select("key", "slot", "root", "digest"), others.select("key", "root", "digest"), features, similarity), "links")
+        if links.limit(1).count():
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+        lo, many = least + many, 2 * many
+
+
 def _classed(docs: DataFrame, similarity: float, doc_col: str, text_col: str) -> DataFrame:
     """(doc, digest, root, class) of each row; root is the component's name, null for a null text."""
     signs = materialize(signed(docs, doc_col, text_col), "signatures")
@@ -329,29 +370,11 @@ def _classed(docs: DataFrame, similarity: float, doc_col: str, text_col: str) ->
     own = materialize(_own_share(features).filter(F.col("own") <= 1 - similarity + 1e-9), "own-shares")
     alive = met.join(broadcast_checked(own), "digest")
     hub = alive.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("own", "digest")).alias("hub")).filter("size > 1")
-    members = materialize(alive.join(broadcast_checked(hub.select("key", F.col("hub.digest").alias("hub"))), "key").select("key", "hub", "digest"), "members")
+    hub = materialize(hub.select("key", F.col("hub.digest").alias("hub")), "hubs")
+    members = materialize(alive.join(broadcast_checked(hub), "key").select("key", "hub", "digest"), "members")
     pairs = members.filter("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
     links = materialize(_verified(pairs, features, similarity), "links")
-    found = components(links)
-
-    # buckets whose members aren't all in one component yet
-    lo, ranked = 0, None
-    while True:
-        root = broadcast_checked(found.withColumnRenamed("node", "digest"))
-        now = members.join(root, "digest", "left").select("key", "hub", "digest", F.coalesce("root", "digest").alias("root"))
-        hubs = now.filter("digest = hub").select("key", F.col("root").alias("hub_root"))
-        if ranked is None:  # the order of the rest is fixed once
-            rest = now.join(hubs, "key").filter("root <> hub_root").select("key", "digest")
-            ranked = materialize(rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("digest")) - 1), "rest")
-        block = ranked.filter((F.col("rank") >= lo) & (F.col("rank") < lo + RESIDUE))
-        if not block.limit(1).count():
-            break
-        open_ = materialize(now.filter("digest <> hub").join(ranked, ["key", "digest"], "left").join(block.select("key").distinct(), "key", "left_semi"), "open")
-        links = materialize(_streamed_links(open_, lo, features, similarity), "links")
-        if links.limit(1).count():
-            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        lo += RESIDUE
-
+    found = _rest_linked(members, features, components(links), similarity)
     least = nodes.join(broadcast_checked(found.withColumnRenamed("node", "digest")), "digest", "left").select("digest", "doc", F.coalesce("root", "digest").alias("root"))
     least = materialize(least, "roots")
     smallest = least.groupBy("root").agg(F.min("doc").alias("class"))
