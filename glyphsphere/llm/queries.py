@@ -75,10 +75,11 @@ def oracle_sql() -> dict[str, str]:
 OP9 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
-f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (s) GROUP BY ALL)
+l AS (SELECT item_id, w, least(len(w), 5) AS n FROM b WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s FROM l),
+ds AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s FROM d, (SELECT DISTINCT n FROM l) WHERE len(w) >= n),
+m AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (n, s) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_found, round(n_found / n_shingles, 6) AS containment
-FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9
+FROM f JOIN m USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9
 """

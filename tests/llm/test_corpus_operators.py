@@ -60,7 +60,7 @@ def near_copies(rng, many, words=120, edits=(0, 14)):
 
 
 def test_near_dedup_finds_exactly_the_classes(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "RESIDUE", 8)
+    monkeypatch.setattr(near_dedup, "SLOT", 8)
     monkeypatch.setattr(near_dedup, "SHARE", 16)
     rng = random.Random(5)
     texts = near_copies(rng, 90) + near_copies(rng, 30, 60, (0, 3)) + near_copies(rng, 6, 40) * 2 + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(40)]
@@ -213,25 +213,31 @@ def test_packing_against_brute_force(spark, odd, nothing, monkeypatch, rows_a_bu
 
 
 def brute_leaks(docs, items, share=0.8):
-    def shingles(t):
+    """By definition: all shingles of five words, or of all of a shorter item's, looked up one by one."""
+
+    def shingles(t, n):
         w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
 
-    own = {i: shingles(t) for i, t in items}
-    return {(d, i) for d, t in docs for s in [shingles(t)] for i, q in own.items() if q and len(q & s) >= share * len(q) - 1e-9}
+    lengths = {i: min(5, len([x for x in re.split(r"[\W_]+", (t or "").lower()) if x])) for i, t in items}
+    own = {i: shingles(t, lengths[i]) for i, t in items}
+    found = {(d, n): shingles(t, n) for d, t in docs for n in {*lengths.values()}}
+    return {(d, i) for d, _ in docs for i, q in own.items() if q and len(q & found[d, lengths[i]]) >= share * len(q) - 1e-9}
 
 
 def test_decontamination_against_brute_force(spark, odd, nothing):
     rng = random.Random(3)
     items = [(i, " ".join(f"q{rng.randrange(500)}" for _ in range(n))) for i, n in enumerate([3, 5, 6, 9, 20, 40, 90, 200])]
+    items += [(90, "q7"), (91, "Q1 q2!"), (92, "q3 q3 q3 q3"), (93, ""), (94, "!?"), (95, None)]
     docs = []
     for i in range(80):
         w = [f"q{rng.randrange(500)}" for _ in range(rng.randint(0, 400))]
-        p = rng.choice(items)[1].split()
+        p = rng.choice(items[:8])[1].split()
         for _ in range(rng.choice([0, 0, 1, 2, 9])):
             p[rng.randrange(len(p))] = "changed"
         at = rng.randint(0, len(w))
         docs.append((i, " ".join([*w[:at], *p, *w[at:]]).upper()))
+    docs += [(800, "q3 q3 q3, q3"), (801, "q3 q3 q3"), (802, "q1 and q2"), (803, None), (804, "")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()}
     assert got == brute_leaks(docs, items) and got
