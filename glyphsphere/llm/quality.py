@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from glyphsphere.llm.common import code_points, text_slices
+from glyphsphere.llm.common import broadcast_checked, code_points, text_slices
 
 #: Labelled documents learned from, about, at most.
 SAMPLE_ROWS = 20_000
@@ -142,13 +142,13 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS, **kw) -> Trees:
     """Trees fitted on the documents that have a label. About ``sample`` labelled rows at most, chosen by a hash of their id,
-    are joined and go to the driver as statistics. Rows with a null id or label are left out."""
+    are joined and go to the driver as statistics. Rows with a null id or label are left out; of several labels of an id the
+    largest counts, and each row under a repeated id is learned from. Empty tables: a constant score of one half."""
     labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     many = labels.count()
     share = F.lit(int(1e6 * min(1, sample / max(1, many))))
     chosen = labels.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).groupBy("id").agg(F.max("label").alias("label"))
-    # at most about SAMPLE_ROWS rows, by the share above
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(broadcast_checked(chosen), "id").select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1) of each whole text; null counts as empty and is scored too."""
+    """``docs`` with ``quality_score`` (0 to 1) of each whole text; null counts as empty and is scored too. Repeated rows
+    are scored each; a column ``quality_score`` of ``docs`` is replaced."""
     model = docs.sparkSession.sparkContext.broadcast(trees)
     docs = docs.drop("quality_score")
     at = docs.columns.index(text_col)

@@ -1,7 +1,10 @@
 """Language, lines, fingerprints, licenses, quality against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -63,25 +66,49 @@ def test_language_odd_rows(spark, odd, nothing):
     assert language.identify(nothing, language.learn(train)).count() == 0
 
 
+def slow_chunks(text, window=2, divisor=3, least=2, most=64):
+    """The boundary rule, with each window's hash computed from scratch."""
+    lines = text.split("\n")
+    value = [zlib.crc32(x.encode()) + 1 for x in lines]
+    out, begin = [], 0
+    for i in range(len(lines)):
+        h = 0
+        for v in value[max(0, i - window + 1) : i + 1]:
+            h = (h * 0x9E3779B1 + v) % 2**32
+        if i + 1 - begin == most or i + 1 - begin >= least and (h >> 13) % divisor == 0:
+            out.append(lines[begin : i + 1])
+            begin = i + 1
+    return out + [lines[begin:]] if begin < len(lines) else out
+
+
 def brute_lines(rows):
-    seen, out = {}, []
+    """First lines of the chunks of each text that stand, line for line, at an earlier place."""
+    seen, out = {}, {}
     for doc, version, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
-        kept, gone = [], 0
-        for pos, lines in enumerate(line_dedup.chunks(text)):
-            c = "\n".join(lines)
-            first = seen.setdefault(c, (doc, version, pos)) if len(lines) > 1 else (doc, version, pos)
-            if first == (doc, version, pos):
-                kept += lines
-            else:
-                gone += len(lines)
-        out.append((doc, "\n".join(kept), gone))
+        at, gone = 0, []
+        for lines in slow_chunks(text):
+            if len(lines) > 1 and seen.setdefault(tuple(lines), (doc, version, at)) != (doc, version, at):
+                gone.append(at)
+            at += len(lines)
+        if gone:
+            out[doc] = gone
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+def test_line_chunks_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    more = [(10**6, "same\n" * 1000), (10**6 + 1, "x\n" + "same\n" * 700), (10**6 + 2, None), (10**6 + 3, "")]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    rows = [(r[0], r[1], r[2]) for r in docs.selectExpr("doc_id", "xxhash64(text)", "text").collect() if r[2] is not None]
+    want = brute_lines(rows)
+    got = {r["doc"]: r["chunks"] for r in line_dedup.repeated_chunks(docs).collect()}
+    assert got == want and want[10**6 + 1] and max(map(len, line_dedup.chunks("same\n" * 1000))) == 64
+
+
+def test_op2_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = [(r[0], r[1], r[2]) for r in docs.selectExpr("doc_id", "xxhash64(text)", "text").collect()]
-    want = {d: (hashlib.sha256(t.encode()).hexdigest(), n) for d, t, n in brute_lines(rows)}
+    want = brute_runs([tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(text)", "text").collect()])
+    want = {d: (hashlib.sha256(t.encode()).hexdigest(), n) for d, (t, n) in want.items()}
     got = {r["doc_id"]: (r["kept_sha256"], r["n_removed"]) for r in queries.op2_line_dedup(spark, DATA).collect()}
     assert got == want and sum(n for _, n in want.values()) > 0
 
@@ -145,6 +172,43 @@ def test_fingerprint_trees():
     assert fingerprints.fingerprint("a b") != fingerprints.fingerprint("a  b")
 
 
+def slow_runs(line):
+    """Word by word: a run ends after the blanks behind a word whose last letter or digit has a code point of 0 or 3 modulo 4."""
+    out, run = [], ""
+    for word in re.findall(r"\S+\s*|\s+", line):
+        run += word
+        core = re.sub(r"[^\w\s]*\s*$", "", word)
+        if word[-1].isspace() and core and core[-1].isalnum() and ord(core[-1]) < 0x180 and ord(core[-1]) % 4 in (0, 3):
+            out.append(run)
+            run = ""
+    return out + [run] if run else out
+
+
+def test_fingerprint_leaves_and_likeness_by_definition():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdehkl ,._\t-0é\n") for _ in range(rng.randint(0, 200))) for _ in range(400)]
+    for t in texts:
+        for line in t.splitlines(keepends=True):
+            assert fingerprints._runs(line) == slow_runs(line)
+
+    def bag(t):
+        return Counter(hashlib.blake2b(x.encode(), digest_size=16).digest()[:6] for line in t.splitlines(keepends=True) for x in slow_runs(line))
+
+    for t in texts:
+        k = rng.randrange(len(t) + 1)
+        other = t[:k] + rng.choice(texts)[k:]
+        a, b = bag(t), bag(other)
+        want = 1.0 if t == other else (a & b).total() / max(a.total(), b.total())
+        x, y = fingerprints.fingerprint(t), fingerprints.fingerprint(other)
+        assert abs(fingerprints.likeness(x, y) - want) < 1e-12
+        assert (x == y) == (t == other)
+
+
+def test_fingerprint_of_blank_runs_ends():
+    for t in (" " * 10_000, "x" + " " * 10_000 + "y", "-" * 100_000, "b " * 50_000):
+        assert fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(t + " ")) < 1.01
+
+
 def test_fingerprints_across_buckets(spark, monkeypatch):
     real = fingerprints.bucket_bounds
     monkeypatch.setattr(fingerprints, "bucket_bounds", lambda df, key: real(df, key, rows=7))
