@@ -8,34 +8,43 @@ from pyspark.sql import functions as F
 from glyphsphere.llm import decontamination, language, line_dedup, near_dedup, packing
 from glyphsphere.llm.common import materialize
 
-#: Documents whose n-grams fit no language better than this (0 to 1) are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.15
+#: Documents whose n-grams fit no language better than this (0 to 1) are rejected, as are those without a letter. Of 10,000
+#: documents, 1 % score under 0.53 and two under 0.4: one word over and over, and a fragment in capitals.
+LEAST_LANGUAGE_SCORE = 0.4
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones teach."""
+    """Documents in one of the languages that the labelled ones teach; a missing ``lang`` is filled with what was found.
+
+    Null texts, empty ones and texts without a letter go. Repeated rows go or stay alike. Where no document has a
+    language, none can be told and all go. Empty table: no rows.
+    """
     found = language.identify(docs, language.learn(docs))
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    found = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line chunks that occur earlier; n_chars follows."""
+    """All documents, without the runs of lines that occur earlier; ``n_chars``, if there is one, follows. Null texts, repeated
+    rows and the empty table stay as they are."""
     out = line_dedup.deduplicated(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the smallest doc_id; of repeated rows one. Null texts all stay."""
     return near_dedup.deduplicated(docs).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts and rows without an id stay; repeated ids go or stay together."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 4096 tokens."""
+    """Pieces of the remaining documents in sequences of at most 4096 tokens; null texts are one end id. Empty table: no rows."""
     return packing.pieces(docs)
 
 
