@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 _CORNER = np.uint32(0x80000000)
 _WORD = "decimal(20,0)"
@@ -69,24 +69,45 @@ def decode(hi: np.ndarray, lo: np.ndarray, corner: bool = False) -> np.ndarray:
     return x if corner else x ^ _CORNER
 
 
-def _decimal(v: np.ndarray) -> list:
-    from decimal import Decimal
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("hi", "lo")]))
+def _key(x: pd.Series, y: pd.Series, z: pd.Series, m: pd.Series) -> pd.DataFrame:
+    hi, lo = encode(np.stack([x, y, z, m], 1).astype(np.int64).astype(np.uint32))
+    return pd.DataFrame({"hi": hi.view(np.int64), "lo": lo.view(np.int64)})
 
-    return [Decimal(int(i)) for i in v]
 
+def _unsigned(c: Column) -> Column:
+    """The 64 bits of a long, read without a sign."""
+    return (c.cast(_WORD) + F.when(c < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast(_WORD)
 
-@F.pandas_udf(StructType([StructField(n, DecimalType(20, 0)) for n in ("hi", "lo")]))
-def hilbert_key(x: pd.Series, y: pd.Series, z: pd.Series, m: pd.Series) -> pd.DataFrame:
-    hi, lo = encode(np.stack([x, y, z, m], 1).astype(np.int64).astype(np.uint32))
-    return pd.DataFrame({"hi": _decimal(hi), "lo": _decimal(lo)})
+
+def _signed(c: Column) -> Column:
+    top = F.lit("9223372036854775808").cast("decimal(20,0)")
+    return F.when(c >= top, (c - top - top).cast("bigint")).otherwise(c.cast("bigint"))
+
+
+def with_key(df: DataFrame, axes: tuple[str, ...], hi: str = "hi", lo: str = "lo") -> DataFrame:
+    """``df`` with the key of four coordinate columns as two unsigned halves. Two longs leave the kernel."""
+    df = df.withColumn("__key", _key(*axes))
+    return df.withColumns({hi: _unsigned(F.col("__key.hi")), lo: _unsigned(F.col("__key.lo"))}).drop("__key")
 
 
 @F.pandas_udf(StructType([StructField(n, LongType()) for n in "xyzm"]))
-def hilbert_point(hi: pd.Series, lo: pd.Series) -> pd.DataFrame:
-    p = decode(np.array([int(v) for v in hi], np.uint64), np.array([int(v) for v in lo], np.uint64))
+def _point(hi: pd.Series, lo: pd.Series) -> pd.DataFrame:
+    p = decode(hi.to_numpy(np.int64).view(np.uint64), lo.to_numpy(np.int64).view(np.uint64))
     return pd.DataFrame(p.astype(np.int64), columns=["x", "y", "z", "m"])
 
 
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in "xyzm"]))
+def _corner_point(hi: pd.Series, lo: pd.Series) -> pd.DataFrame:
+    p = decode(hi.to_numpy(np.int64).view(np.uint64), lo.to_numpy(np.int64).view(np.uint64), corner=True)
+    return pd.DataFrame(p.astype(np.int64), columns=["x", "y", "z", "m"])
+
+
+def point_of(hi: Column, lo: Column, corner: bool = False) -> Column:
+    """The point (x, y, z, m) of a key; ``corner``: counted from the curve's corner."""
+    return (_corner_point if corner else _point)(_signed(hi), _signed(lo))
+
+
 def _wide(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 

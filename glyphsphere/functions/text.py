@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Separators of prompts, stop words of questions, sentence ends, white space, stop tokens.
@@ -70,11 +70,13 @@ def char_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:
     return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
 
 
-def moderation(text: Column) -> dict[str, Column]:
-    """One flag per category, and ``flagged``."""
-    low = F.lower(text)
-    out = {k: reduce(lambda a, b: a | b, [F.instr(low, w) > 0 for w in words]) for k, words in MODERATION.items()}
-    return out | {"flagged": reduce(lambda a, b: a | b, out.values())}
+def moderated(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` without the text but with one flag per category, and ``flagged``. The lower-cased text is a column of its own, and
+    ``flagged`` comes from the flags, so no text is searched twice for a word of a category."""
+    keep = [c for c in df.columns if c != text_col]
+    low = df.select(*keep, F.lower(text_col).alias("__low"))
+    flags = low.select(*keep, *(reduce(lambda a, b: a | b, [F.contains("__low", F.lit(w)) for w in words]).alias(k) for k, words in MODERATION.items()))
+    return flags.withColumn("flagged", reduce(lambda a, b: a | b, [F.col(k) for k in MODERATION]))
 
 
 def bpe_decoded(token: Column) -> Column:

@@ -22,11 +22,9 @@ def descendants(children: DataFrame, roots: DataFrame, max_depth: int) -> DataFr
     return out
 
 
-def reconstructed(children: DataFrame, labels: DataFrame) -> DataFrame:
-    """(parent, text): children's labels (node, label) in order; bottom-up, so shared nodes are assembled once."""
-    parts = children.join(labels.select(F.col("node").alias("child"), "label"), "child", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("label", F.lit("")).alias("label"))))
-    return parts.groupBy("parent").agg(F.array_join(F.transform(pairs, lambda x: x["label"]), "").alias("text"))
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) in both directions."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def shortest_paths(edges: DataFrame, start, most: int) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsphere.functions import geometry as G
-from glyphsphere.functions.text import STOP_TOKENS
-from glyphsphere.operators.topk import first_per_group, with_query
+from glyphsphere.functions.text import STOP_TOKENS, tokens
+from glyphsphere.operators.topk import first_per_group, placed, with_query
+from glyphsphere.sources.storage import cut
 
-# Weights of the parts of a score; bonuses of data types and roles.
-CENTROID, PMI, ATTENTION, GLOBAL = 0.4, 0.3, 0.2, 0.1
+# Bonuses of data types and roles.
 DTYPES = {"FP32": 2.0, "F32": 2.0, "BF16": 1.5, "FP16": 1.0, "F16": 1.0, "FP8": 0.5, "F8_E4M3": 0.5}
 ROLES = {"embeddings": 2.0, "attention": 1.5, "ffn": 1.0}
 
@@ -40,26 +41,92 @@ def candidates(points: DataFrame, edges: DataFrame, context: list, k: int, id_co
     return rows.withColumn("score", 0.4 * F.col("centroid") + 0.3 * F.col("pmi") + 0.3 * F.col("attention")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def next_words(unigrams: DataFrame, bigrams: DataFrame, last: str, k: int) -> DataFrame:
-    """(word, total, pmi, global): likely next words by their share of the best pair and their own frequency."""
-    after = bigrams.filter(F.col("a") == last).select(F.col("b").alias("word"), F.col("n").alias("pair"))
-    best = after.agg(F.max("pair").alias("best"))
-    rows = unigrams.filter(F.col("word") != last).join(after, "word", "left").crossJoin(F.broadcast(best))
-    rows = rows.select("word", F.coalesce(F.col("pair") / F.col("best"), F.lit(0.0)).alias("pmi"), (F.log1p("n") / 10).alias("global"))
-    return rows.withColumn("total", PMI * F.col("pmi") + GLOBAL * F.col("global")).orderBy(F.desc("total"), "word").limit(k)
+@dataclass(frozen=True)
+class Config:
+    """Weights of the four parts of a next word's score, and how one is chosen."""
 
+    centroid: float = 0.4
+    pmi: float = 0.3
+    attention: float = 0.2
+    frequency: float = 0.1
+    greedy: bool = True
+    temperature: float = 1.0
 
-def generate(unigrams: DataFrame, bigrams: DataFrame, start: str, steps: int) -> DataFrame:
-    """(position, word): greedy continuation that stops at a stop token; a bounded loop of small jobs over kept inputs."""
-    uni, bi, path = unigrams.cache(), bigrams.cache(), [start]
-    for _ in range(steps):
-        best = next_words(uni.filter(~F.col("word").isin(path[:-1])), bi, path[-1], 1).first()
+
+# Presets by name.
+PRESETS = {
+    "centroid_only": Config(1.0, 0.0, 0.0, 0.0), "pmi_only": Config(0.0, 1.0, 0.0, 0.0), "attention_only": Config(0.0, 0.0, 1.0, 0.0), "balanced": Config(0.25, 0.25, 0.25, 0.25),
+    "creative": Config(0.4, 0.3, 0.2, 0.1, False, 1.5), "focused": Config(0.5, 0.3, 0.2, 0.0, True, 0.5),
+}
+
+
+@dataclass(frozen=True)
+class Words:
+    """What a score needs: words (word, n, place), an array of four numbers each; links (src, dst, pmi); attention (src, dst, weight)."""
+
+    words: DataFrame
+    links: DataFrame
+    attention: DataFrame
+
+
+def next_words(model: Words, last: str, k: int, config: Config = Config(), without: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """(word, total, centroid, pmi, attention, global): the ``k`` likeliest words after ``last``.
+
+    Nearness of the places; PMI over the largest PMI of all links; attention; log(1 + frequency) / 10. Null places count 0.
+    """
+    here = model.words.filter(F.col("word") == last).select(F.col("place").alias("q")).limit(1)
+    after = model.links.filter(F.col("src") == last).select(F.col("dst").alias("word"), F.col("pmi").alias("p"))
+    best = model.links.agg(F.max("pmi").alias("best"))
+    heed = model.attention.filter(F.col("src") == last).groupBy(F.col("dst").alias("word")).agg(F.max("weight").alias("w"))
+    rows = model.words.filter(~F.col("word").isin(last, *without)).join(after, "word", "left").join(heed, "word", "left").crossJoin(F.broadcast(best)).crossJoin(F.broadcast(here))  # one row each
+    near = F.sqrt(F.aggregate(F.zip_with("place", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    parts = {"centroid": F.coalesce(1.0 / (1.0 + near), F.lit(0.0)), "pmi": F.coalesce(F.col("p") / F.col("best"), F.lit(0.0)), "attention": F.coalesce("w", F.lit(0.0)), "global": F.log1p(F.col("n").cast("double")) / 10}
+    rows = rows.select("word", *(c.alias(n) for n, c in parts.items()))
+    total = config.centroid * F.col("centroid") + config.pmi * F.col("pmi") + config.attention * F.col("attention") + config.frequency * F.col("global")
+    return rows.withColumn("total", total).orderBy(F.desc("total"), "word").limit(k)
+
+
+# What ends a walk.
+WALK_STOPS = [".", "!", "?", "\n"]
+
+
+def generate(model: Words, start: str, steps: int, config: Config = Config(), again: bool = True, seed: int = 1) -> DataFrame:  # noqa: B008
+    """(position, word): a continuation word by word, a bounded loop of small jobs over written inputs.
+
+    ``again``: a walk, which leaves out the current word only and ends at ``. ! ?`` or a line break; else no word of the
+    context comes again, and ``. ! ? [SEP] [EOS]`` end it. Greedy, or drawn by the configuration's temperature. A start
+    that is no word gives no rows.
+    """
+    model = Words(cut(model.words), cut(model.links), cut(model.attention))
+    spark, path = model.words.sparkSession, [start]
+    if not model.words.filter(F.col("word") == start).limit(1).count():
+        return spark.createDataFrame([], "position int, word string")
+    for step in range(steps):
+        found = next_words(model, path[-1], 1 if config.greedy else 40, config, () if again else tuple(path[:-1]))
+        best = (found if config.greedy else sample(found, "total", config.temperature, seed + step, "word")).first()
         if best is None:
             break
         path.append(best["word"])
-        if best["word"] in STOP_TOKENS:
+        if best["word"] in (WALK_STOPS if again else STOP_TOKENS):
             break
-    return unigrams.sparkSession.createDataFrame(list(enumerate(path)), "position int, word string")
+    return spark.createDataFrame(list(enumerate(path)), "position int, word string")
+
+
+def rank_decayed(top: DataFrame, order: list) -> DataFrame:
+    """A short list's rows with ``place`` from 0 and a score that falls by a tenth from row to row, from 1."""
+    ranked = top.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    return ranked.withColumn("score", 1.0 - 0.1 * F.col("place"))
+
+
+def word_overlap(text: Column, question: str) -> Column:
+    """Share of the question's distinct words that a text holds."""
+    wanted = sorted({w for w in question.lower().split() if w})
+    return F.size(F.array_intersect(F.array_distinct(tokens(text)), F.array(*map(F.lit, wanted)))) / F.lit(max(1, len(wanted)))
+
+
+def reranked(hits: DataFrame, relevance: Column, k: int, id_col: str) -> DataFrame:
+    """The ``k`` best of a list of hits by a model's relevance (any column, a pandas UDF too)."""
+    return hits.withColumn("relevance", relevance).orderBy(F.desc("relevance"), id_col).limit(k)
 
 
 def sample(options: DataFrame, score: str, temperature: float, seed: int, id_col: str) -> DataFrame:
@@ -70,7 +137,7 @@ def sample(options: DataFrame, score: str, temperature: float, seed: int, id_col
 
 def rank_fusion(lists: list[tuple[DataFrame, list]], id_col: str, k: int, damp: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ordered lists (rows, order)."""
-    ranked = [df.select(id_col, (1.0 / (damp + F.row_number().over(Window.orderBy(*order)))).alias("s")) for df, order in lists]
+    ranked = [placed(df, order).select(id_col, (1.0 / (damp + F.col("place"))).alias("s")) for df, order in lists]
     both = reduce(DataFrame.unionByName, ranked)
     return both.groupBy(id_col).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphsphere.sources.storage import cut
+
 
 def nearest(df: DataFrame, score: Column, k: int, id_col: str, ascending: bool = True, name: str = "dist") -> DataFrame:
     """The ``k`` rows with the least (or largest) score, ties by id: a heap of k rows a task, no shuffle of the table."""
@@ -26,10 +29,64 @@ def with_query(df: DataFrame, query: DataFrame, prefix: str = "q_") -> DataFrame
     return df.crossJoin(F.broadcast(query.limit(1).select(*(F.col(c).alias(prefix + c) for c in query.columns))))
 
 
+def with_fallback(ids: DataFrame, one: DataFrame, two: DataFrame, key: str, values: tuple[str, ...]) -> DataFrame:
+    """``ids`` with values from ``one``, else from ``two``, else null."""
+    first = one.select(key, F.struct(*values).alias("__one"))
+    second = two.select(key, F.struct(*values).alias("__two"))
+    both = ids.join(first, key, "left").join(second, key, "left").withColumn("__v", F.coalesce("__one", "__two"))
+    return both.select(*ids.columns, *(F.col(f"__v.{v}").alias(v) for v in values))
+
+
+def matching(df: DataFrame, payload: dict) -> DataFrame:
+    """Rows whose columns equal all of the given values; the scan gets each as a filter."""
+    return reduce(lambda d, kv: d.filter(F.col(kv[0]) == kv[1]), payload.items(), df)
+
+
+def page(df: DataFrame, by: str, id_col: str, size: int = 20, after=None, before=None) -> DataFrame:
+    """``size`` rows (100 at most) by falling ``by``, after or before the row with a given id, with ``has_more``: one row more
+    than asked for is read. Without a cursor: the first page."""
+    size = min(size, 100)
+    cursor = after if before is None else before
+    rows = df if cursor is None else with_query(df, df.filter(F.col(id_col) == cursor))
+    falling = before is None
+    if cursor is not None:
+        key, mark = F.struct(-F.col(by), id_col), F.struct(-F.col(f"q_{by}"), f"q_{id_col}")
+        rows = rows.filter(key > mark if falling else key < mark)
+    order = [F.desc(by), F.asc(id_col)] if falling else [F.asc(by), F.desc(id_col)]
+    found = rows.select(*df.columns).orderBy(*order).limit(size + 1).withColumn("__place", F.row_number().over(Window.orderBy(*order)))  # 101 rows at most
+    return found.withColumn("has_more", F.max("__place").over(Window.partitionBy()) > size).filter(F.col("__place") <= size).drop("__place")
+
+
+def placed(df: DataFrame, order: list, name: str = "place", parts: int | None = None) -> DataFrame:
+    """``df`` with each row's place from 1 in a total order. Ranges of the order are ranked apart and shifted by the rows of the
+    ranges before them, one number each on the driver; no task gets the whole table."""
+    spread = df.repartitionByRange(*([parts] if parts else []), *order).withColumn("__range", F.spark_partition_id())
+    spread = cut(spread)
+    rows = sorted((r[0], r[1]) for r in spread.groupBy("__range").count().collect())
+    before, total = [], 0
+    for k, n in rows:
+        before.append((k, total))
+        total += n
+    if not rows:
+        return spread.drop("__range").withColumn(name, F.lit(0).cast("bigint"))
+    shift = F.element_at(F.create_map(*[F.lit(x) for kv in before for x in kv]), F.col("__range"))
+    return spread.withColumn(name, (F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + shift).cast("bigint")).drop("__range")
+
+
 #: Vectors of a reference block: a block is one matrix of a task.
 BLOCK = 4096
 
 
+def _least(key: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row, in order, ties by column."""
+    if key.shape[1] > 4 * k:
+        bound = np.partition(key, k - 1, 1)[:, k - 1 : k]
+        near = max(k, int((key <= bound).sum(1).max()))
+        some = np.sort(np.argpartition(np.where(key <= bound, key, np.inf), near - 1, 1)[:, :near], 1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(key, some, 1), 1, kind="stable")[:, :k], 1)
+    return np.argsort(key, 1, kind="stable")[:, :k]
+
+
 def batch_knn(queries: DataFrame, base: DataFrame, k: int | None, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None, itself: bool = False) -> DataFrame:
     """(src, dst, score): exact ``k`` best of ``base`` for each row of ``queries``; ``cosine`` falls, ``l2`` rises.
 
@@ -69,7 +126,7 @@ def batch_knn(queries: DataFrame, base: DataFrame, k: int | None, metric: str =
                 if k is None:
                     rows, cols = np.nonzero(np.isfinite(key))
                 else:
-                    take = np.argsort(key, 1, kind="stable")[:, :k]
+                    take = _least(key, k)
                     rows, cols = np.repeat(np.arange(len(qi)), take.shape[1]), take.ravel()
                 ok = np.isfinite(key[rows, cols])
                 yield pa.RecordBatch.from_arrays([pa.array(qi[rows[ok]]), pa.array(bi[cols[ok]]), pa.array(s[rows[ok], cols[ok]])], ["src", "dst", "score"])

@@ -11,8 +11,9 @@ from glyphsphere.functions import hashing as H
 from glyphsphere.functions import hilbert as HB
 from glyphsphere.operators import topk
 from glyphsphere.plans.registry import Tables, query
-from glyphsphere.plans.vector_queries import quantized, r6
+from glyphsphere.plans.vector_queries import PTS, QUANT, UNIT, D, points, quantized, r6, unit
 from glyphsphere.sources import atoms as A
+from glyphsphere.sources.storage import new_path
 
 BLOCKS = "CASE WHEN cp % 65536 >= 65534 THEN 'noncharacter' " + " ".join(f"WHEN cp BETWEEN {a} AND {b} THEN '{c}'" for a, b, c in C.BLOCKS) + " ELSE 'letter_other' END"
 ACC = " ".join(f"WHEN cp BETWEEN {a} AND {b} THEN {ord(c)}" for a, b, c in C.ACCENTED)
@@ -32,23 +33,23 @@ CASE WHEN cp BETWEEN 65 AND 90 OR cp BETWEEN 913 AND 937 OR cp BETWEEN 1040 AND
 keys AS (SELECT cp, CAST(kl[1] AS BIGINT) * 72057594037927936 + CAST(script AS BIGINT) * 281474976710656 + (CAST(kl[2] AS BIGINT) % 1048576) * 268435456 + CAST(variant AS BIGINT) * 1048576 + cp % 1048576 AS k FROM k4),
 ranks AS (SELECT cp, k, row_number() OVER (ORDER BY k, cp) - 1 AS rank FROM keys)"""
 SPIRAL = """sp AS (SELECT cp, rank, sqrt((rank + 0.5) / 1114112) AS r, sqrt(1 - (rank + 0.5) / 1114112) AS rr, (rank + 0.5) * (2 * pi()) / 1.4142135623730951 AS al, (rank + 0.5) * (2 * pi()) / 1.533751168755204288118041 AS be FROM ranks),
-atom0 AS (SELECT cp, rank, r * cos(al) AS x, r * sin(al) AS y, rr * cos(be) AS z, rr * sin(be) AS m FROM sp)"""
+atom0 AS (SELECT cp, rank, CAST(CAST(r * cos(al) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(r * sin(al) AS FLOAT) AS DOUBLE) AS y, CAST(CAST(rr * cos(be) AS FLOAT) AS DOUBLE) AS z, CAST(CAST(rr * sin(be) AS FLOAT) AS DOUBLE) AS m FROM sp)"""
 
 
-@query(f"WITH {KEYS} SELECT cp AS codepoint, k AS key, rank FROM ranks WHERE cp < 12000")
+@query(f"WITH {KEYS} SELECT cp AS codepoint, k AS key, rank FROM ranks")
 def g13_semantic_ranks(t: Tables) -> DataFrame:
-    return C.ranked(t.spark).filter("codepoint < 12000")
+    return C.ranked(t.spark)
 
 
-@query(f"WITH {KEYS}, {SPIRAL} SELECT cp AS codepoint, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, round(m, 5) AS m FROM atom0 WHERE cp BETWEEN 32 AND 1000")
+@query(f"WITH {KEYS}, {SPIRAL} SELECT cp AS codepoint, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z, round(m, 5) AS m FROM atom0")
 def g12_spiral_points(t: Tables) -> DataFrame:
     p = G.on_spiral(F.col("rank"))
-    return C.ranked(t.spark).filter("codepoint BETWEEN 32 AND 1000").select("codepoint", *(F.round(c, 5).alias(a) for c, a in zip(p, G.AXES, strict=True)))
+    return C.ranked(t.spark).select("codepoint", *(F.round(c, 5).alias(a) for c, a in zip(p, G.AXES, strict=True)))
 
 
-@query(f"SELECT cp AS codepoint, {BLOCKS} AS category FROM (SELECT range AS cp FROM range(0, 1114112)) WHERE cp < 70000")
+@query(f"SELECT cp AS codepoint, {BLOCKS} AS category FROM (SELECT range AS cp FROM range(0, 1114112))")
 def g14_categories(t: Tables) -> DataFrame:
-    return t.spark.range(0, 70000).select(F.col("id").alias("codepoint"), C.category(F.col("id")).alias("category"))
+    return t.spark.range(0, G.CODEPOINTS).select(F.col("id").alias("codepoint"), C.category(F.col("id")).alias("category"))
 
 
 @query(f"SELECT {BLOCKS} AS category, count(*) AS n FROM (SELECT unicode(c) AS cp FROM (SELECT unnest(string_split(text, '')) AS c FROM documents)) GROUP BY ALL")
@@ -57,20 +58,23 @@ def a22_category_distribution(t: Tables) -> DataFrame:
     return chars.select(F.ascii("c").alias("cp")).groupBy(C.category(F.col("cp")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT cp AS codepoint, row_number() OVER (ORDER BY cp) - 1 AS rank FROM (SELECT range AS cp FROM range(0, 1114112)) WHERE NOT (cp BETWEEN 55296 AND 57343 OR cp BETWEEN 64976 AND 65007 OR cp % 65536 >= 65534) QUALIFY cp > 1113000")
+@query("SELECT cp AS codepoint, row_number() OVER (ORDER BY cp) - 1 AS rank FROM (SELECT range AS cp FROM range(0, 1114112)) WHERE NOT (cp BETWEEN 55296 AND 57343 OR cp BETWEEN 64976 AND 65007 OR cp % 65536 >= 65534)")
 def g16_registry_ranks(t: Tables) -> DataFrame:
-    return C.registry(t.spark).filter("codepoint > 1113000")
+    return C.registry(t.spark)
 
 
 @query()
 def g15_src2_atoms(t: Tables) -> DataFrame:
     """Whole atom rows: id, point, key, category."""
-    return A.generate(t.spark).filter(F.col("codepoint").between(32, 0x2FF))
+    return A.generate(t.spark)
 
 
-@query("SELECT count(*) AS atoms, min(range) AS least, max(range) AS most FROM range(0, 1114112) WHERE NOT range BETWEEN 55296 AND 57343")
-def src3_seed_counts(t: Tables) -> DataFrame:
-    return A.codepoints(t.spark).agg(F.count("*").alias("atoms"), F.min("codepoint").alias("least"), F.max("codepoint").alias("most"))
+@query("SELECT * FROM (VALUES (1, CAST(1112064 AS BIGINT), CAST(1112064 AS BIGINT)), (2, 0, 1112064)) v(run, written, total)")
+def src3_src6_seeded(t: Tables) -> DataFrame:
+    """All atoms written to a new table, twice: the second run finds every one there."""
+    path = new_path(t.spark, "atoms")
+    rows = [(run, A.seed(t.spark, path), t.spark.read.parquet(path).count()) for run in (1, 2)]
+    return t.spark.createDataFrame(rows, "run int, written long, total long")
 
 
 @query("SELECT unicode(c) AS codepoint, c AS char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) GROUP BY ALL")
@@ -86,49 +90,89 @@ def l1_l2_l3_atom_lookup(t: Tables) -> DataFrame:
 
 
 def keyed(t: Tables) -> DataFrame:
-    q = quantized(t)
-    return q.withColumn("h", HB.hilbert_key("x", "y", "z", "m")).select("vec_id", "label", *G.AXES, "h.hi", "h.lo")
+    return HB.with_key(quantized(t), G.AXES).select("vec_id", "label", *G.AXES, "hi", "lo")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS points, CAST(0 AS BIGINT) AS mismatches FROM embeddings")
-def hb1_hb2_round_trip(t: Tables) -> DataFrame:
-    k = keyed(t).withColumn("p", HB.hilbert_point("hi", "lo"))
-    bad = F.count_if((F.col("p.x") != F.col("x")) | (F.col("p.y") != F.col("y")) | (F.col("p.z") != F.col("z")) | (F.col("p.m") != F.col("m")))
-    return k.agg(F.count("*").alias("points"), bad.alias("mismatches"))
+def _axis(n: str, before: str) -> str:
+    """SQL of one axis of a bit plane: what is exchanged with the first axis, or the first axis's inversion."""
+    return f"SELECT * REPLACE (xor(a, CASE WHEN ({n} >> bit) & 1 = 1 THEN low ELSE xor(a, {n}) & low END) AS a, xor({n}, CASE WHEN ({n} >> bit) & 1 = 1 THEN 0 ELSE xor(a, {n}) & low END) AS {n}) FROM ({before})"
 
 
-@query()
-def hb3_hb4_k4_hilbert_neighbours(t: Tables) -> DataFrame:
-    """The ten nearest along the curve to vector 0, by the exact 128-bit distance, with the rough one beside it."""
+_PLANE = "SELECT vec_id, bit, (1::BIGINT << bit) - 1 AS low, xor(a, CASE WHEN (a >> bit) & 1 = 1 THEN (1::BIGINT << bit) - 1 ELSE 0 END) AS a, b, c, d FROM hr WHERE bit >= 1"
+for _n in "bcd":
+    _PLANE = _axis(_n, _PLANE)
+_NIBBLES = "list_reduce(list_transform(range({0} + 15, {0} - 1, -1), lambda i: CAST(((a >> i) & 1) + 2 * ((b >> i) & 1) + 4 * ((c >> i) & 1) + 8 * ((d >> i) & 1) AS UHUGEINT)), lambda p, q: p * 16 + q)"
+#: 128-bit keys of the vectors' points by bit planes: rotations from the top plane down, Gray code, interleaving.
+HILBERT = f"""{QUANT}, hr AS (SELECT vec_id, 31 AS bit, xor(x, 2147483648) AS a, xor(y, 2147483648) AS b, xor(z, 2147483648) AS c, xor(m, 2147483648) AS d FROM quant
+UNION ALL SELECT vec_id, bit - 1, a, b, c, d FROM ({_PLANE})), hg AS (SELECT vec_id, a, xor(a, b) AS b, xor(xor(a, b), c) AS c, xor(xor(xor(a, b), c), d) AS d FROM hr WHERE bit = 0),
+ht AS (SELECT *, list_reduce(list_transform(range(1, 32), lambda i: CASE WHEN (d >> i) & 1 = 1 THEN (1::BIGINT << i) - 1 ELSE 0::BIGINT END), lambda p, q: xor(p, q)) AS t FROM hg),
+hx AS (SELECT vec_id, xor(a, t) AS a, xor(b, t) AS b, xor(c, t) AS c, xor(d, t) AS d FROM ht), hk AS MATERIALIZED (SELECT vec_id, {_NIBBLES.format(16)} AS hi, {_NIBBLES.format(0)} AS lo FROM hx)"""
+
+
+@query(f"WITH RECURSIVE {HILBERT} SELECT vec_id, CAST(hi AS VARCHAR) AS hi, CAST(lo AS VARCHAR) AS lo FROM hk")
+def hb1_hilbert_keys(t: Tables) -> DataFrame:
+    return keyed(t).select("vec_id", F.col("hi").cast("string").alias("hi"), F.col("lo").cast("string").alias("lo"))
+
+
+@query(f"WITH {QUANT} SELECT vec_id, x, y, z, m, xor(x, 2147483648) AS corner_x, xor(m, 2147483648) AS corner_m FROM quant")
+def hb2_points_of_keys(t: Tables) -> DataFrame:
+    """Points from keys, and counted from the curve's corner."""
+    k = keyed(t).select("vec_id", "hi", "lo")
+    k = k.withColumn("p", HB.point_of(F.col("hi"), F.col("lo"))).withColumn("c", HB.point_of(F.col("hi"), F.col("lo"), corner=True))
+    return k.select("vec_id", *(F.col(f"p.{a}").alias(a) for a in G.AXES), F.col("c.x").alias("corner_x"), F.col("c.m").alias("corner_m"))
+
+
+@query(f"""WITH RECURSIVE {HILBERT}, w AS (SELECT vec_id, hi, lo, hi * 18446744073709551616::UHUGEINT + lo AS k FROM hk),
+d AS (SELECT b.vec_id, CASE WHEN a.k > b.k THEN a.k - b.k ELSE b.k - a.k END AS d, abs(CAST(a.hi AS DOUBLE) - CAST(b.hi AS DOUBLE)) * 9223372036854775808.0 + abs(CAST(a.lo AS DOUBLE) - CAST(b.lo AS DOUBLE)) AS rough FROM w a JOIN w b ON a.vec_id = 0 AND b.vec_id <> 0)
+SELECT vec_id, CAST(d // 18446744073709551616::UHUGEINT AS VARCHAR) AS d_hi, CAST(d % 18446744073709551616::UHUGEINT AS VARCHAR) AS d_lo, round(log2(rough), 6) AS rough, text FROM (SELECT * FROM d ORDER BY d, vec_id LIMIT 10) LEFT JOIN documents ON doc_id = vec_id""")
+def hb4_k4_hilbert_neighbours(t: Tables) -> DataFrame:
+    """The ten nearest along the curve to vector 0 by the exact 128-bit distance, with the rough one (its logarithm) and the text."""
     k = keyed(t)
     rows = topk.with_query(k, k.filter("vec_id = 0")).filter("vec_id <> 0")
     ends = (F.col("hi"), F.col("lo"), F.col("q_hi"), F.col("q_lo"))
     hi, lo = HB.distance(*ends)
-    return rows.select("vec_id", hi.alias("d_hi"), lo.alias("d_lo"), HB.rough_distance(*ends).alias("rough")).orderBy("d_hi", "d_lo", "vec_id").limit(10).select("vec_id", F.col("d_hi").cast("string").alias("d_hi"), F.col("d_lo").cast("string").alias("d_lo"), "rough")
+    near = rows.select("vec_id", hi.alias("d_hi"), lo.alias("d_lo"), r6(F.log2(HB.rough_distance(*ends)), "rough")).orderBy("d_hi", "d_lo", "vec_id").limit(10)
+    return near.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select("vec_id", F.col("d_hi").cast("string").alias("d_hi"), F.col("d_lo").cast("string").alias("d_lo"), "rough", "text")
 
 
-@query("""WITH h AS (SELECT o_orderkey AS id, CAST(o_orderkey AS HUGEINT) * 1000003 AS hi, CAST(o_custkey AS HUGEINT) * 12297829382473034 AS lo FROM orders WHERE o_orderkey % 50 = 0),
+@query("""WITH h AS (SELECT o_orderkey AS id, CAST(o_orderkey AS HUGEINT) * 1000003 AS hi, CAST(o_custkey AS HUGEINT) * 12297829382473034 AS lo FROM orders),
 d AS (SELECT a.id, abs((a.hi * 18446744073709551616 + a.lo) - (b.hi * 18446744073709551616 + b.lo)) AS d FROM h a JOIN h b ON b.id = 50)
 SELECT id, CAST(d // 18446744073709551616 AS VARCHAR) AS d_hi, CAST(d % 18446744073709551616 AS VARCHAR) AS d_lo FROM d""")
 def hb3_wide_distance(t: Tables) -> DataFrame:
     wide = lambda c, k: (F.col(c).cast("decimal(20,0)") * F.lit(k).cast("decimal(18,0)")).cast("decimal(20,0)")
-    h = t.orders.filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), wide("o_orderkey", 1000003).alias("hi"), wide("o_custkey", 12297829382473034).alias("lo"))
+    h = t.orders.select(F.col("o_orderkey").alias("id"), wide("o_orderkey", 1000003).alias("hi"), wide("o_custkey", 12297829382473034).alias("lo"))
     rows = topk.with_query(h, h.filter("id = 50"))
     hi, lo = HB.distance(F.col("hi"), F.col("lo"), F.col("q_hi"), F.col("q_lo"))
     return rows.select("id", hi.cast("string").alias("d_hi"), lo.cast("string").alias("d_lo"))
 
 
-@query()
-def k6_k7_j10_hb5_hilbert_range(t: Tables) -> DataFrame:
-    """Keys in a window around vector 5's, in order of key: struct comparison orders high half, then low half."""
+REACH = 1 << 60
+
+
+def _range(k: DataFrame, lo: tuple, hi: tuple) -> DataFrame:
+    """Rows with a key between two literal keys: the scan of a table that is stored by key prunes by them."""
+    word = lambda v: F.lit(str(min(max(int(v), 0), (1 << 64) - 1))).cast("decimal(20,0)")
+    inside = F.struct("hi", "lo").between(F.struct(word(lo[0]), word(lo[1])), F.struct(word(hi[0]), word(hi[1])))
+    return k.filter(F.col("hi").between(word(lo[0]), word(hi[0])) & inside).orderBy("hi", "lo", "vec_id").select("vec_id", F.col("hi").cast("string").alias("hi"), F.col("lo").cast("string").alias("lo"))
+
+
+@query(f"""WITH RECURSIVE {HILBERT} SELECT vec_id, CAST(hi AS VARCHAR) AS hi, CAST(lo AS VARCHAR) AS lo FROM hk WHERE hi >= 4611686018427387904::UHUGEINT AND (hi < 9223372036854775808::UHUGEINT OR (hi = 9223372036854775808::UHUGEINT AND lo = 0))""")
+def k6_hb5_hilbert_range(t: Tables) -> DataFrame:
+    """Keys between two bounds, in order of key: struct comparison orders high half, then low half."""
+    return _range(keyed(t), (1 << 62, 0), (1 << 63, 0))
+
+
+@query(f"""WITH RECURSIVE {HILBERT}, q AS (SELECT greatest(hi::HUGEINT - {REACH}, 0)::UHUGEINT AS a, hi + {REACH} AS b, lo FROM hk WHERE vec_id = 5) SELECT vec_id, CAST(hk.hi AS VARCHAR) AS hi, CAST(hk.lo AS VARCHAR) AS lo FROM hk, q WHERE (hk.hi, hk.lo) >= (q.a, q.lo) AND (hk.hi, hk.lo) <= (q.b, q.lo)""")
+def k7_j10_hilbert_window(t: Tables) -> DataFrame:
+    """Keys in a window around vector 5's: the centre is looked up first, so the range has literal bounds."""
     k = keyed(t)
-    rows = topk.with_query(k, k.filter("vec_id = 5"))
-    reach = F.lit("1152921504606846976").cast("decimal(20,0)")
-    inside = F.struct("hi", "lo").between(F.struct((F.col("q_hi") - reach).cast("decimal(20,0)"), F.col("q_lo")), F.struct((F.col("q_hi") + reach).cast("decimal(20,0)"), F.col("q_lo")))
-    return rows.filter(inside).orderBy("hi", "lo", "vec_id").select("vec_id", F.col("hi").cast("string").alias("hi"), F.col("lo").cast("string").alias("lo"))
+    centre = HB.with_key(quantized(t).filter("vec_id = 5"), G.AXES).select("hi", "lo").first()
+    if centre is None:
+        return _range(k.filter("false"), (0, 0), (0, 0))
+    return _range(k, (centre["hi"] - REACH, centre["lo"]), (centre["hi"] + REACH, centre["lo"]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HILBERT}, u AS (SELECT vec_id, CAST(hi AS DOUBLE) / 18446744073709551616.0 AS u FROM hk), d AS (SELECT b.vec_id, least(abs(a.u - b.u), 1.0 - abs(a.u - b.u)) AS d FROM u a JOIN u b ON a.vec_id = 0 AND b.vec_id <> 0) SELECT vec_id, round(d, 6) AS d FROM d ORDER BY d.d, vec_id LIMIT 50""")
 def r3_hilbert_candidates(t: Tables) -> DataFrame:
     k = keyed(t)
     rows = topk.with_query(k, k.filter("vec_id = 0")).filter("vec_id <> 0")
@@ -138,11 +182,14 @@ def r3_hilbert_candidates(t: Tables) -> DataFrame:
 
 @query("SELECT part, count(*) AS n FROM (SELECT ntile(7) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) AS part FROM lineitem) GROUP BY part")
 def d18_equal_ranges(t: Tables) -> DataFrame:
-    """Ranges of equal count over an order: exact boundaries come from the rank's place."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    return t.lineitem.select(F.ntile(7).over(w).cast("bigint").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    """Ranges of equal count over an order: exact boundaries come from each row's place and the number of rows. The first ranges
+    hold one row more if the rows don't divide."""
+    rows = topk.placed(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")])
+    total = rows.count()
+    size, more = divmod(total, 7)
+    at = F.col("place") - 1
+    part = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1))) + 1
+    return rows.select(part.cast("bigint").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -182,23 +229,32 @@ def g17_k18_frechet(t: Tables) -> DataFrame:
     return A.frechet_pairs(t.region.select(F.col("r_name").alias("text"))).orderBy("a", "distance", "b")
 
 
-@query()
+@query(f"""WITH {KEYS}, {SPIRAL}, {UNIT}, c AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(m) AS m FROM unit GROUP BY label), d AS (SELECT label, cp, {D} AS d FROM c a, atom0 b WHERE NOT cp BETWEEN 55296 AND 57343)
+SELECT label, round(min(d), 6) AS d, arg_min(cp, (round(d, 9), cp)) AS codepoint FROM d GROUP BY label""")
 def g22_nearest_codepoint(t: Tables) -> DataFrame:
-    """For each label's centroid the code point (32..591) that lies closest on the sphere."""
-    a = A.points(t.spark).filter(F.col("codepoint").between(32, 591))
-    from glyphsphere.plans.vector_queries import unit
-
+    """For each label's centroid the code point that lies closest on the sphere: the few centroids are the query set against
+    all code points, and each task keeps the best of each."""
     c = unit(t).groupBy("label").agg(*(F.avg(x).alias("q_" + x) for x in G.AXES))
-    near = c.crossJoin(F.broadcast(a)).withColumn("d", G.distance(G.point(), G.point("q_")))
-    return topk.first_per_group(near, ["label"], [F.col("d"), F.col("codepoint")]).select("label", "codepoint", r6(F.col("d"), "d"))
+    near = A.points(t.spark).crossJoin(F.broadcast(c)).withColumn("d", G.distance(G.point(), G.point("q_")))  # a centroid a label
+    best = near.groupBy("label").agg(F.min("d").alias("d"), F.min(F.struct(F.round("d", 9), "codepoint")).alias("b"))
+    return best.select("label", r6(F.col("d"), "d"), F.col("b.codepoint").alias("codepoint"))
 
 
-@query()
+@query(f"""WITH {PTS}, n AS (SELECT a.vec_id, min({D}) AS d FROM pts a JOIN pts b ON a.vec_id <> b.vec_id GROUP BY a.vec_id), r AS (SELECT d, row_number() OVER (ORDER BY d) AS k FROM n), c AS (SELECT count(*) AS n FROM n)
+SELECT any_value(c.n) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(stddev_pop(d) / avg(d), 6) AS cv, round(max(d) FILTER (k = CAST(floor(c.n * 0.5) AS BIGINT) + 1), 6) AS median, round(max(d) FILTER (k = CAST(floor(c.n * 0.05) AS BIGINT) + 1), 6) AS p5, round(max(d) FILTER (k = CAST(floor(c.n * 0.95) AS BIGINT) + 1), 6) AS p95, count(*) FILTER (d = 0) AS collisions FROM r, c""")
 def a23_spacing(t: Tables) -> DataFrame:
-    """Nearest-neighbour spacing of the atoms 32..591: mean, spread, percentiles by place, collisions."""
-    return A.spacing(A.points(t.spark).filter(F.col("codepoint").between(32, 591)))
+    """Nearest-neighbour spacing of all vectors' points: mean, spread, percentiles by place, collisions."""
+    p = points(t).select("vec_id", F.array(*G.AXES).alias("embedding"))
+    near = topk.batch_knn(p, p, 1, metric="l2").select("src", "dst").join(points(t).withColumnRenamed("vec_id", "src"), "src")
+    other = points(t).select(F.col("vec_id").alias("dst"), *(F.col(a).alias("q_" + a) for a in G.AXES))
+    return A.spacing(near.join(other, "dst").select(G.distance(G.point(), G.point("q_")).alias("d")))
 
 
-@query()
+_JIT = ", ".join(f"{a} + 0.000001 * ((CAST('0x' || substr(md5(cp || '{a}'), 1, 8) AS BIGINT) % 2001 - 1000) / 1000.0) AS {a}" for a in "xyzm")
+
+
+@query(f"WITH {KEYS}, {SPIRAL}, j AS (SELECT cp, {_JIT} FROM atom0 WHERE NOT cp BETWEEN 55296 AND 57343) SELECT cp AS codepoint, " + ", ".join(f"round({a} / sqrt(x*x+y*y+z*z+m*m), 5) AS {a}" for a in "xyzm") + " FROM j")
 def g21_jittered_layout(t: Tables) -> DataFrame:
-    return A.jittered(A.points(t.spark).filter(F.col("codepoint").between(32, 591)), 1e-6)
+    """Every code point moved a little by a repeatable draw and put back on the sphere."""
+    j = A.jittered(A.points(t.spark), 1e-6)
+    return j.select("codepoint", *(F.round(a, 5).alias(a) for a in G.AXES))

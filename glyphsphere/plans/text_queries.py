@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphsphere.functions import text as T
 from glyphsphere.operators import graph, learners, topk
 from glyphsphere.plans.registry import Tables, query
+from glyphsphere.sources.storage import cut
 
 SEP = r"[\s,.!?;:''\"()\[\]{}]+"
 TOK = f"list_filter(regexp_split_to_array(lower(text), '{SEP}'), lambda w: w <> '')"
@@ -18,10 +19,10 @@ def words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
 
 
-@query(f"WITH {TOKS}, v AS (SELECT word, count(*) AS n FROM toks GROUP BY word) SELECT doc_id, CAST(pos AS BIGINT) AS pos, word, n >= 100 AS has_centroid FROM toks JOIN v USING (word) WHERE doc_id < 20")
+@query(f"WITH {TOKS}, v AS (SELECT word, count(*) AS n FROM toks GROUP BY word) SELECT doc_id, CAST(pos AS BIGINT) AS pos, word, n >= 100 AS has_centroid FROM toks JOIN v USING (word)")
 def t3_prompt_tokens(t: Tables) -> DataFrame:
     v = words(t).groupBy("word").agg(F.count("*").alias("n"))
-    return words(t).filter("doc_id < 20").join(v, "word").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word", (F.col("n") >= 100).alias("has_centroid"))
+    return words(t).join(v, "word").select("doc_id", F.col("pos").cast("bigint").alias("pos"), "word", (F.col("n") >= 100).alias("has_centroid"))
 
 
 @query(f"SELECT doc_id, CAST(len(list_distinct(l)) AS BIGINT) AS total, CAST(ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 4 / 3) AS BIGINT) AS estimate FROM (SELECT doc_id, text, {TOK} AS l FROM documents)")
@@ -41,17 +42,9 @@ def t7_presets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", *(F.size(T.preset_tokens(F.col("text"), p)).cast("bigint").alias(p) for p in T.PRESETS))
 
 
-@query("""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(text, '[.!?]')) AS BIGINT) AS ends FROM documents""")
-def t8_hierarchy(t: Tables) -> DataFrame:
-    """Levels of a text: paragraphs, and sentence ends within them."""
-    ps = T.paragraphs(F.col("text"))
-    ends = F.aggregate(ps, F.lit(0), lambda a, p: a + F.size(F.filter(F.split(p, ""), lambda c: c.isin(".", "!", "?"))))
-    return t.documents.select("doc_id", F.size(ps).cast("bigint").alias("paragraphs"), ends.cast("bigint").alias("ends"))
-
-
-@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 462)) AS s FROM documents) SELECT doc_id, CAST(s // 462 AS BIGINT) AS chunk, substr(text, s + 1, 512) AS body FROM c WHERE doc_id < 200""")
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 462)) AS s FROM documents) SELECT doc_id, CAST(s // 462 AS BIGINT) AS chunk, substr(text, s + 1, 512) AS body FROM c""")
 def t15_chunks(t: Tables) -> DataFrame:
-    return t.documents.filter("doc_id < 200").select("doc_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "body")).withColumn("chunk", F.col("chunk").cast("bigint"))
+    return t.documents.select("doc_id", F.posexplode(T.char_chunks(F.col("text"))).alias("chunk", "body")).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
 @query()
@@ -79,7 +72,7 @@ def t18_l11_phrase_search(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, " + ", ".join("(" + " OR ".join(f"contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')" for w in ws) + f") AS {k}" for k, ws in T.MODERATION.items()) + ", (" + " OR ".join(f"contains(lower(text), '{w.replace(chr(39), chr(39) * 2)}')" for ws in T.MODERATION.values() for w in ws) + ") AS flagged FROM documents")
 def t19_moderation(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *(c.alias(k) for k, c in T.moderation(F.col("text")).items()))
+    return T.moderated(t.documents.select("doc_id", "text"))
 
 
 @query("SELECT tok, replace(replace(tok, 'Ġ', ' '), 'Ċ', chr(10)) AS decoded, CASE WHEN tok IN ('<s>', '[CLS]', '<bos>') THEN 'bos' WHEN tok IN ('</s>', '[SEP]', '<eos>') THEN 'eos' WHEN tok IN ('<pad>', '[PAD]') THEN 'pad' WHEN tok IN ('<unk>', '[UNK]') THEN 'unk' WHEN tok IN ('<mask>', '[MASK]') THEN 'mask' ELSE 'special' END AS role FROM (VALUES ('Ġthe'), ('[CLS]'), ('</s>'), ('Ċ'), ('<mask>'), ('[PAD]'), ('<unk>')) v(tok)")
@@ -118,9 +111,9 @@ def t25_tensor_categories(t: Tables) -> DataFrame:
 
 
 @query("""SELECT source, CASE WHEN count(*) > 0 THEN 'You are a helpful assistant. Use the following context to answer the user''s question accurately.' || chr(10) || chr(10) || string_agg('Context ' || k || ':' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k) END AS prompt
-FROM (SELECT source, left(text, 50) AS body, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY source""")
+FROM (SELECT source, text AS body, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY source""")
 def t26_rag_prompts(t: Tables) -> DataFrame:
-    top = topk.first_per_group(t.documents.select("source", "doc_id", F.substring("text", 1, 50).alias("body")), ["source"], [F.col("doc_id")], 3)
+    top = topk.first_per_group(t.documents.select("source", "doc_id", F.col("text").alias("body")), ["source"], [F.col("doc_id")], 3)
     docs = top.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "body"))), lambda x: x["body"]).alias("d"))
     return docs.select("source", T.rag_prompt(F.col("d")).alias("prompt"))
 
@@ -134,27 +127,54 @@ def t27_conversation_prompts(t: Tables) -> DataFrame:
 PAIRS = f"WITH {TOKS}, pr AS (SELECT word AS a, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM toks), bi AS (SELECT a, b, count(*) AS n FROM pr WHERE b IS NOT NULL GROUP BY ALL), uni AS (SELECT word, count(*) AS n FROM toks GROUP BY word)"
 
 
-def bigrams(t: Tables) -> DataFrame:
-    pairs = words(t).withColumn("b", F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos"))).filter("b IS NOT NULL")
-    return pairs.groupBy(F.col("word").alias("a"), "b").agg(F.count("*").alias("n"))
+def pair_counts(t: Tables) -> DataFrame:
+    """(a, b, n): each word before each following one, null at the end of a text: the counts of words and of pairs are sums of it.
+    The pairs are made inside the row, so no text is shuffled."""
+    w = t.documents.select(T.tokens(F.col("text")).alias("w"))
+    both = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return cut(w.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+
+
+def unigrams(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
+
+
+def bigrams(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("b IS NOT NULL")
+
+
+@query(f"{PAIRS} SELECT a, b, n FROM bi")
+def a24_j9_bigrams(t: Tables) -> DataFrame:
+    return bigrams(pair_counts(t))
 
 
-@query(f"{PAIRS} SELECT a, b, n FROM bi WHERE n >= 5")
-def a24_j9_d8_bigrams(t: Tables) -> DataFrame:
-    return bigrams(t).filter("n >= 5")
+@query(f"{PAIRS} SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM (SELECT a AS src, b AS dst FROM bi UNION ALL SELECT b, a FROM bi)")
+def d8_pair_edges(t: Tables) -> DataFrame:
+    """Edges of weight 1 in both directions between words that stand side by side."""
+    return graph.both_ways(bigrams(pair_counts(t)).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("weight", F.lit(1.0))
 
 
-@query(f"""{PAIRS}, tot AS (SELECT (SELECT sum(n) FROM uni) AS nu, (SELECT sum(n) FROM bi) AS nb) SELECT bi.a, bi.b, bi.n, round(log2((bi.n / nb) / ((x.n / nu) * (y.n / nu))), 6) AS pmi FROM bi JOIN uni x ON bi.a = x.word JOIN uni y ON bi.b = y.word, tot WHERE bi.n >= 5""")
-def a25_t11_pmi(t: Tables) -> DataFrame:
-    uni, bi = words(t).groupBy("word").agg(F.count("*").alias("n")), bigrams(t)
-    tot = uni.agg(F.sum("n").alias("nu")).crossJoin(bi.agg(F.sum("n").alias("nb")))
-    j = bi.filter("n >= 5").join(uni.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(uni.select(F.col("word").alias("b"), F.col("n").alias("nbb")), "b").crossJoin(F.broadcast(tot))
-    return j.select("a", "b", "n", F.round(F.log2((F.col("n") / F.col("nb")) / ((F.col("na") / F.col("nu")) * (F.col("nbb") / F.col("nu")))), 6).alias("pmi"))
+def pmi(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, n, pmi): log2 of a pair's share over the product of its words' shares, of pairs that occur ``least`` times."""
+    uni, bi = unigrams(pairs), bigrams(pairs)
+    tot = pairs.agg(F.sum("n").alias("nu"), F.sum(F.when(F.col("b").isNotNull(), F.col("n"))).alias("nb"))
+    j = bi.filter(F.col("n") >= least).join(uni.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(uni.select(F.col("word").alias("b"), F.col("n").alias("nbb")), "b")
+    j = j.crossJoin(F.broadcast(tot))  # one row
+    return j.select("a", "b", "n", F.log2((F.col("n") / F.col("nb")) / ((F.col("na") / F.col("nu")) * (F.col("nbb") / F.col("nu")))).alias("pmi"))
+
+
+PMI = f"""{PAIRS}, tot AS (SELECT (SELECT sum(n) FROM uni) AS nu, (SELECT sum(n) FROM bi) AS nb), pm AS (SELECT bi.a, bi.b, bi.n, log2((bi.n / nb) / ((x.n / nu) * (y.n / nu))) AS pmi FROM bi JOIN uni x ON bi.a = x.word JOIN uni y ON bi.b = y.word, tot WHERE bi.n >= 2)"""
+
+
+@query(f"{PMI} SELECT a, b, n, round(pmi, 6) AS pmi FROM pm")
+def a25_pmi(t: Tables) -> DataFrame:
+    """At least two occurrences, as the operator asks for."""
+    return pmi(pair_counts(t)).withColumn("pmi", F.round("pmi", 6))
 
 
 @query(f"{PAIRS} SELECT a, b, n FROM bi ORDER BY n DESC, a, b LIMIT 1")
-def a26_t10_best_pair(t: Tables) -> DataFrame:
-    return bigrams(t).orderBy(F.desc("n"), "a", "b").limit(1)
+def a26_best_pair(t: Tables) -> DataFrame:
+    return bigrams(pair_counts(t)).orderBy(F.desc("n"), "a", "b").limit(1)
 
 
 @query()
@@ -166,13 +186,14 @@ def t10_merges(t: Tables) -> DataFrame:
 @query()
 def t12_grammar(t: Tables) -> DataFrame:
     """Digram-unique grammars per document (rules used twice or more)."""
-    return learners.grammars(t.documents.filter("doc_id < 30 AND n_chars < 2000").select("doc_id", "text"))
+    return learners.grammars(t.documents.select("doc_id", "text"))
 
 
 @query()
 def t13_longest_matches(t: Tables) -> DataFrame:
+    """Greedy longest matches in every text of the words that occur fifty times (a parameter: the vocabulary is broadcast)."""
     vocab = words(t).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 50").select("word")
-    return learners.longest_matches(t.documents.filter("doc_id < 50").select("doc_id", "text"), vocab)
+    return learners.longest_matches(t.documents.select("doc_id", "text"), vocab)
 
 
 @query()
@@ -180,52 +201,5 @@ def t9_token_compositions(t: Tables) -> DataFrame:
     """Words as compositions of atoms: content hash, length, depth."""
     from glyphsphere.functions.hashing import text_hash_hex
 
-    v = words(t).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 200")
+    v = words(t).groupBy("word").agg(F.count("*").alias("n"))
     return v.select("word", text_hash_hex("word").alias("id"), F.length("word").cast("bigint").alias("atom_count"), F.lit(1).alias("depth"), "n")
-
-
-DAG = f"WITH {TOKS}, w AS (SELECT DISTINCT word FROM toks WHERE doc_id < 40), leaf AS (SELECT word AS parent, unnest(string_split(word, '')) AS child, unnest(range(0, length(word))) AS ordinal FROM w)"
-
-
-def word_children(t: Tables) -> DataFrame:
-    w = words(t).filter("doc_id < 40").select("word").distinct()
-    return w.select(F.col("word").alias("parent"), F.posexplode(F.split("word", "")).alias("ordinal", "child")).filter("child <> ''")
-
-
-@query(f"{DAG} SELECT parent, string_agg(child, '' ORDER BY ordinal) AS text FROM leaf GROUP BY parent")
-def d2_d3_a19_reconstruct(t: Tables) -> DataFrame:
-    c = word_children(t)
-    return graph.reconstructed(c, c.select(F.col("child").alias("node"), F.col("child").alias("label")).distinct())
-
-
-@query(f"{DAG} SELECT parent AS id, true AS composed, CAST(count(*) AS BIGINT) AS child_count, CAST(count(DISTINCT child) AS BIGINT) AS leaves FROM leaf GROUP BY parent")
-def l4_l8_l9_d4_composition_stats(t: Tables) -> DataFrame:
-    return word_children(t).groupBy(F.col("parent").alias("id")).agg(F.lit(True).alias("composed"), F.count("*").alias("child_count"), F.count_distinct("child").alias("leaves"))
-
-
-@query(f"{DAG} SELECT x.parent AS a, y.parent AS b, count(*) AS paths FROM leaf x JOIN leaf y ON x.child = y.child WHERE x.parent = 'the' AND y.parent <> 'the' GROUP BY ALL ORDER BY paths DESC, b LIMIT 25")
-def d5_j14_shared_descendants(t: Tables) -> DataFrame:
-    c = word_children(t)
-    j = c.filter("parent = 'the'").select(F.col("parent").alias("a"), "child").join(c.filter("parent <> 'the'").select(F.col("parent").alias("b"), "child"), "child")
-    return j.groupBy("a", "b").agg(F.count("*").alias("paths")).orderBy(F.desc("paths"), "b").limit(25)
-
-
-@query(f"{DAG} SELECT child AS label, count(DISTINCT parent) AS parents FROM leaf GROUP BY child ORDER BY parents DESC, label LIMIT 20")
-def a16_a17_vocabulary(t: Tables) -> DataFrame:
-    return word_children(t).groupBy(F.col("child").alias("label")).agg(F.count_distinct("parent").alias("parents")).orderBy(F.desc("parents"), "label").limit(20)
-
-
-@query(f"{DAG}, d AS (SELECT doc_id, word FROM toks WHERE doc_id < 10) SELECT w.word, length(w.word) AS atom_count FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.word = w.word) AND length(w.word) BETWEEN 3 AND 12 ORDER BY 2 DESC, 1 LIMIT 30")
-def a18_j7_novel_compositions(t: Tables) -> DataFrame:
-    w = words(t)
-    novel = w.filter("doc_id < 40").select("word").distinct().join(w.filter("doc_id < 10").select("word").distinct(), "word", "left_anti")
-    return novel.withColumn("atom_count", F.length("word").cast("bigint")).filter("atom_count BETWEEN 3 AND 12").orderBy(F.desc("atom_count"), "word").limit(30)
-
-
-@query(f"{DAG}, tot AS (SELECT parent AS node, 1 AS depth FROM leaf UNION ALL SELECT child, 2 FROM leaf) SELECT depth, count(*) AS n FROM (SELECT DISTINCT doc_id, word FROM toks WHERE doc_id < 5) q JOIN tot ON false GROUP BY depth UNION ALL SELECT 0, 5 UNION ALL SELECT 1, count(*) FROM (SELECT doc_id FROM toks WHERE doc_id < 5) UNION ALL SELECT 2, sum(length(word)) FROM toks WHERE doc_id < 5")
-def d1_traverse(t: Tables) -> DataFrame:
-    """Everything below five documents: words, then characters, one row a path."""
-    doc = words(t).filter("doc_id < 5").select(F.concat(F.lit("doc:"), "doc_id").alias("parent"), F.concat(F.lit("w:"), "word").alias("child"), F.col("pos").alias("ordinal"))
-    chars = words(t).filter("doc_id < 5").select("word").distinct().select(F.concat(F.lit("w:"), "word").alias("parent"), F.posexplode(F.split("word", "")).alias("ordinal", "child")).filter("child <> ''")
-    below = graph.descendants(doc.unionByName(chars.select("parent", "child", "ordinal")), doc.select(F.col("parent").alias("root")).distinct(), 5)
-    return below.groupBy("depth").agg(F.count("*").alias("n"))

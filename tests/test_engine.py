@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import os
@@ -9,10 +10,11 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphsphere.functions import hashing, hilbert
-from glyphsphere.operators import graph, learners, maintenance, relations, topk
+from glyphsphere.operators import compositions, graph, learners, maintenance, relations, scoring, topk
 from glyphsphere.plans import catalog
 from glyphsphere.sources import atoms, files
 from glyphsphere.streaming import ratings
@@ -33,12 +35,8 @@ def canon(df):
     return sorted((tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
-#: One of each kind; the whole catalogue is compared at a larger scale by the driver.
-CHOSEN = ["k11_similar_vectors", "g5_g6_g7_g23_quantized", "k14_j4_v8_knn_edges", "a7_m1_elo_ratings", "t3_prompt_tokens", "a25_t11_pmi", "d7_shortest_paths", "d13_components", "r11_r14_rank_fusion", "m2_m3_m4_m5_pruned", "hs5_fnv1a", "a22_category_distribution", "l16_cursor_page", "extra_cube"]
-
-
 @needs_data
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
@@ -57,6 +55,8 @@ def test_blake3_vectors():
     v = bytes(i % 251 for i in range(2049))
     assert hashing.blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
     assert hashing.blake3(v[:1025]).hex().startswith("d00278ae47eb27b3") and hashing.blake3(v).hex().startswith("5f4d72f40d7a5f82")
+    many = [v[:n] for n in (0, 1, 3, 63, 64, 65, 500, 1023, 1024, 1025, 2049)]
+    assert hashing.blake3_many(many) == [hashing.blake3(m) for m in many]
     assert hashing.text_hash("") is None and hashing.text_hash("A") == hashing.blake3(b"A")
 
 
@@ -97,11 +97,80 @@ def test_reconstruct_and_traverse(spark):
     text = ["Hello", "Mississippi", "Banana", "世界"]
     kids = spark.createDataFrame([(w, i, c) for w in text for i, c in enumerate(w)], "parent string, ordinal long, child string")
     labels = kids.selectExpr("child AS node", "child AS label").distinct()
-    assert {r["parent"]: r["text"] for r in graph.reconstructed(kids, labels).collect()} == {w: w for w in text}
+    got = {r["node"]: r["label"] for r in compositions.reconstructed(kids, labels).collect()}
+    assert {w: got[w] for w in text} == {w: w for w in text}
     below = graph.descendants(kids, spark.createDataFrame([("Banana",)], "root string"), 3)
     assert below.count() == 7
 
 
+def test_compositions_of_several_levels_share_nodes(spark):
+    rows = [("doc", 0, "w1"), ("doc", 1, "w2"), ("doc", 2, "w1"), ("w1", 0, "a"), ("w1", 1, "b"), ("w2", 0, "c"), ("top", 0, "doc"), ("top", 1, "w2"), ("lost", 0, "nowhere")]
+    kids = spark.createDataFrame(rows, "parent string, ordinal long, child string")
+    atoms = spark.createDataFrame([(x, x) for x in "abc"], "node string, label string")
+    got = {r["node"]: (r["label"], r["level"]) for r in compositions.reconstructed(kids, atoms).collect()}
+    assert got["doc"] == ("abcab", 2) and got["top"] == ("abcabc", 3) and got["w2"] == ("c", 1) and "lost" not in got
+    stats = compositions.statistics(kids, atoms)
+    assert {r["node"]: (r["atom_count"], r["child_count"]) for r in stats.collect()} == {"a": (1, 0), "b": (1, 0), "c": (1, 0), "w1": (2, 2), "w2": (1, 1), "doc": (5, 3), "top": (6, 2)}
+    bad = {r["check_name"]: r["bad"] for r in compositions.checked(kids, atoms, stats).collect()}
+    assert bad == {"orphan_children": 1, "leaves_with_children": 0, "atom_count": 0, "child_count": 0, "ordinal_gaps": 0}
+    worse = kids.unionByName(spark.createDataFrame([("a", 0, "b"), ("w2", 5, "c")], kids.schema))
+    bad = {r["check_name"]: r["bad"] for r in compositions.checked(worse, atoms, stats).collect()}
+    assert bad["leaves_with_children"] == 1 and bad["ordinal_gaps"] == 1 and bad["child_count"] == 2 and bad["atom_count"] == 1
+
+
+def test_ingested_texts_round_trip(spark):
+    texts = ["One two. Three!\n\nFour", "Four", "x", "", None, "  lead and trail \n", "same same. same same. ", "a.b.c"]
+    kids, atoms = compositions.ingested(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {r["node"]: r["label"] for r in compositions.reconstructed(kids, atoms).collect()}
+    for t in filter(None, texts):
+        assert got[hashlib.md5(t.encode()).hexdigest()] == t
+    assert kids.count() == kids.dropDuplicates(["parent", "ordinal"]).count() and kids.filter("parent = child").count() == 0
+
+
+def test_places_in_a_total_order(spark):
+    df = spark.createDataFrame([((i * 37) % 101, i % 5) for i in range(101)], "a long, b long")
+    got = [(r["a"], r["place"]) for r in topk.placed(df, [F.desc("a")], parts=6).orderBy("place").collect()]
+    assert got == [(100 - i, i + 1) for i in range(101)]
+    assert topk.placed(df.filter("false"), [F.col("a")]).count() == 0
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([(i, i // 3) for i in range(50)], "id long, n long")
+    order = sorted(range(50), key=lambda i: (-(i // 3), i))
+    at = order.index(20)
+    after = topk.page(df, "n", "id", 10, after=20).collect()
+    before = topk.page(df, "n", "id", 10, before=20).collect()
+    assert {r["id"] for r in after} == set(order[at + 1 : at + 11]) and all(r["has_more"] for r in after)
+    assert {r["id"] for r in before} == set(order[at - 10 : at]) and all(r["has_more"] for r in before)
+    assert [r["has_more"] for r in topk.page(df, "n", "id", 100, after=order[-3]).collect()] == [False] * 2
+
+
+def test_generation_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [(f"w{i}", rng.randint(1, 50), [rng.random() for _ in range(4)]) for i in range(12)] + [(".", 3, [0.5] * 4)]
+    links = [(a[0], b[0], rng.random()) for a in words for b in words if rng.random() < 0.4]
+    heed = [(a[0], b[0], rng.random()) for a in words for b in words if rng.random() < 0.3]
+    model = scoring.Words(
+        spark.createDataFrame(words, "word string, n long, place array<double>"), spark.createDataFrame(links, "src string, dst string, pmi double"),
+        spark.createDataFrame(heed, "src string, dst string, weight double"),
+    )
+    place = {w: p for w, _, p in words}
+    top, pmi, attention = max(p for *_, p in links), {(a, b): p for a, b, p in links}, {(a, b): p for a, b, p in heed}
+
+    def best(last, without):
+        def score(w, n):
+            return 0.4 / (1 + math.dist(place[w], place[last])) + 0.3 * pmi.get((last, w), 0) / top + 0.2 * attention.get((last, w), 0) + 0.1 * math.log1p(n) / 10
+
+        return max(((score(w, n), w) for w, n, _ in words if w not in {last, *without}), key=lambda x: (x[0], [-ord(c) for c in x[1]]))[1]
+
+    for again in (True, False):
+        path = ["w0"]
+        while len(path) < 7 and (len(path) == 1 or path[-1] != "."):
+            path.append(best(path[-1], () if again else path))
+        assert [r["word"] for r in scoring.generate(model, "w0", 6, again=again).orderBy("position").collect()] == path
+    assert scoring.generate(model, "unknown", 3).count() == 0
+
+
 def test_walks_are_self_avoiding(spark):
     e = spark.createDataFrame([(i, j, 1.0 + j) for i in range(6) for j in range(6) if i != j], "src long, dst long, weight double")
     starts = spark.range(3).selectExpr("id AS start")
@@ -141,6 +210,27 @@ def test_learners(spark):
     assert flat(-1) == "a b c d a b c d x".split()
     body = [tuple(b[i : i + 2]) for b in rules.values() for i in range(len(b) - 1)]
     assert len(body) == len(set(body))
+    assert learners.segmented("abcabd", learners.trie(["ab", "abc", "b"])) == [("abc", True), ("ab", True), ("d", False)]
+    hits = learners.keyword_search(spark.createDataFrame([(1, "use c++ (now)", 3), (2, "ccc now", 3)], "id long, text string, depth int"), "c++ (now", 5)
+    assert [r["id"] for r in hits.collect()] == [1]
+
+
+def test_grammars_of_random_sequences():
+    rng = random.Random(3)
+    for _ in range(3000):
+        seq = [rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))]
+        rules = learners.grammar(seq)
+
+        def flat(r, rules=rules):
+            return [w for x in rules[r] for w in (flat(x) if isinstance(x, int) else [x])]
+
+        assert flat(-1) == seq
+        used, seen = Counter(x for b in rules.values() for x in b if isinstance(x, int)), {}
+        assert all(used[r] >= 2 for r in rules if r != -1)
+        for r, b in rules.items():
+            for i, d in enumerate(zip(b, b[1:], strict=False)):
+                at = seen.setdefault(d, (r, i))
+                assert at == (r, i) or at == (r, i - 1)  # only overlapping ones may be equal
 
 
 def brute_merges(text):
