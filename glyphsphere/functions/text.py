@@ -95,6 +95,12 @@ def path_prefixes(path: Column, sep: str = ".") -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), sep))
 
 
+def merge_edges(merges: DataFrame) -> DataFrame:
+    """(source, target, relation_type, rank): from both parts of each merge (rank, left, right) to what they make."""
+    made = F.concat("left", "right").alias("target")
+    return merges.select(F.explode(F.array("left", "right")).alias("source"), made, F.lit("M").alias("relation_type"), "rank")
+
+
 def layer_of(path: Column) -> Column:
     found = F.regexp_extract(path, r"layers?\.(\d+)\.", 1)
     return F.when(found != "", found.cast("int"))

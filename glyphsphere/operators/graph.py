@@ -89,23 +89,84 @@ def laplacian(edges: DataFrame) -> DataFrame:
     return degree.unionByName(both.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("weight")).alias("value")))
 
 
-#: Nodes up to which the dense eigenproblem goes to the driver.
+#: Nodes up to which the dense eigenproblem goes to the driver; beyond it the same eigenvectors come from Lanczos steps.
 DENSE = 5000
 
 
-def spectral_coordinates(edges: DataFrame, dims: int = 4) -> DataFrame:
+def _signed(v: np.ndarray) -> np.ndarray:
+    """Columns whose largest entry is positive."""
+    return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
+
+
+def spectral_coordinates(edges: DataFrame, dims: int = 4, dense: int = DENSE) -> DataFrame:
     """(node, c0..c3): the eigenvectors of the smallest non-trivial eigenvalues, signs fixed, orthonormal."""
     entries = laplacian(edges)
-    nodes = [r[0] for r in entries.select("i").distinct().orderBy("i").limit(DENSE + 1).collect()]
-    if len(nodes) > DENSE:
-        raise ValueError(f"more than {DENSE} nodes: partition the graph first")
+    nodes = [r[0] for r in entries.select("i").distinct().orderBy("i").limit(dense + 1).collect()]
+    if len(nodes) > dense:
+        return lanczos_coordinates(edges, dims)
     at = {n: k for k, n in enumerate(nodes)}
     a = np.zeros((len(nodes), len(nodes)))
     for r in entries.collect():
         a[at[r["i"]], at[r["j"]]] += r["value"]
     values, vectors = np.linalg.eigh(a)
-    take = [k for k in range(len(values)) if values[k] > 1e-9][:dims]
-    v = vectors[:, take]
-    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
+    v = _signed(vectors[:, [k for k in range(len(values)) if values[k] > 1e-9][:dims]])
     names = [f"c{k}" for k in range(v.shape[1])]
     return edges.sparkSession.createDataFrame([(n, *map(float, v[k])) for k, n in enumerate(nodes)], ["node", *names])
+
+
+def lanczos_coordinates(edges: DataFrame, dims: int = 4, most: int = 300, tolerance: float = 1e-6) -> DataFrame:
+    """As ``spectral_coordinates``, for any number of nodes: Lanczos steps with full orthogonalisation.
+
+    The basis is one array a node, so a step is one join with the edges and two passes of sums; only these sums and the
+    tridiagonal matrix, whose size is the number of steps, reach the driver. It ends when the residuals of the wanted
+    vectors fall under ``tolerance`` times the largest eigenvalue, or when the basis spans all that the start can reach,
+    and raises after ``most`` steps. Of equal eigenvalues one vector is found.
+    """
+    entries = cut(laplacian(edges).groupBy("i", "j").agg(F.sum("value").alias("value")))
+    start = (F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) + 0.5) / float(1 << 40) - 0.5
+    basis = entries.select(F.col("i").alias("node")).distinct().withColumn("q", F.array(start))
+    n = entries.select("i").distinct().count()
+
+    def norm(df: DataFrame, c) -> float:
+        return float(df.agg(F.sqrt(F.sum(c * c))).first()[0])
+
+    def orthogonal(df: DataFrame, j: int) -> DataFrame:
+        """``w`` without its parts along the constant vector and the first j of the basis."""
+        c = df.agg(F.sum("w"), *(F.sum(F.col("w") * F.col("q")[k]) for k in range(j))).first()
+        along = F.zip_with("q", F.array(*(F.lit(float(x)) for x in c[1:])), lambda a, b: a * b) if j else F.array(F.lit(0.0))
+        return df.withColumn("w", F.col("w") - c[0] / n - F.aggregate(along, F.lit(0.0), lambda a, x: a + x))
+
+    first = orthogonal(basis.select("node", F.col("q")[0].alias("w"), F.array().cast("array<double>").alias("q")), 0)
+    size = norm(first, F.col("w"))
+    basis = cut(first.select("node", F.array(F.col("w") / size).alias("q")))
+    diagonal, beside = [], []
+    for j in range(1, most + 1):
+        now = basis.select(F.col("node").alias("j"), F.col("q")[j - 1].alias("v"))
+        product = entries.join(now, "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("value") * F.col("v")).alias("w"))
+        step = cut(basis.join(product, "node"))
+        diagonal.append(float(step.agg(F.sum(F.col("w") * F.col("q")[j - 1])).first()[0]))
+        step = cut(orthogonal(orthogonal(step, j), j))
+        beta = norm(step, F.col("w"))
+        values, y = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))
+        scale = max(abs(values[-1]), 1e-300)
+        wanted = np.nonzero(values > 1e-9 * scale)[0][:dims]
+        spent = j >= n - 1 or beta <= 1e-12 * scale
+        if spent or (len(wanted) == dims and j >= 4 * dims and (abs(beta * y[-1, wanted]) < tolerance * scale).all()):
+            out = step.select("node", *(F.aggregate(F.zip_with("q", F.array(*map(F.lit, map(float, y[:, k]))), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias(f"c{i}") for i, k in enumerate(wanted)))
+            names = out.columns[1:]
+            signs = out.agg(*(F.max_by(F.signum(c), F.struct(F.round(F.abs(c), 9), -F.hash("node"))).alias(c) for c in names)).first()
+            return out.select("node", *((F.col(c) * signs[c]).alias(c) for c in names))
+        beside.append(beta)
+        basis = step.select("node", F.array_append("q", F.col("w") / beta).alias("q"))
+    raise RuntimeError(f"the eigenvectors need more than {most} steps")
+
+
+def bridges(edges: DataFrame) -> DataFrame:
+    """(src, dst): edges that connect a graph's components, from the largest component's representative to every other's. A
+    representative is its component's node of highest degree, the smallest of equals."""
+    found = components(edges)
+    degree = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    top = found.join(degree, "node").groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct(-F.col("degree"), "node")).alias("best"))
+    top = cut(top.select("component", "size", F.col("best.node").alias("node")))
+    hub = top.agg(F.min(F.struct(-F.col("size"), "component", "node")).alias("h")).select(F.col("h.node").alias("src"), F.col("h.component").alias("of"))
+    return top.crossJoin(F.broadcast(hub)).filter("component <> of").select("src", F.col("node").alias("dst"))  # the hub is one row

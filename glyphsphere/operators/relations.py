@@ -46,6 +46,27 @@ def merged(edges: DataFrame, keys: list[str], how: str = "mean") -> DataFrame:
     return edges.groupBy(*keys).agg(w.alias("weight"), F.count("*").alias("source_count"))
 
 
+def loaded(new: DataFrame, old: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) once the edges ``new`` (src, dst, weight) are loaded into ``old`` (with source_count) and ``nodes`` (node).
+
+    Each new edge counts once, with its largest weight, as one more source of the running mean; endpoints that are missing
+    become nodes.
+    """
+    once = new.groupBy("src", "dst").agg(F.max("weight").alias("__new"))
+    n = F.coalesce("source_count", F.lit(0)).cast("bigint")
+    more = F.col("__new").isNotNull()
+    mean = F.when(~more, F.col("weight")).when(n > 0, (F.col("weight") * n + F.col("__new")) / (n + 1)).otherwise(F.col("__new"))
+    edges = old.select("src", "dst", "weight", "source_count").join(once, ["src", "dst"], "full").select("src", "dst", mean.alias("weight"), (n + more.cast("bigint")).alias("source_count"))
+    ends = once.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return edges, nodes.unionByName(ends.join(nodes, "node", "left_anti"))
+
+
+def scores_of(scores: DataFrame, model: str, tensors: DataFrame) -> DataFrame:
+    """(tensor, score): the best known score of each of a model's listed tensors."""
+    known = scores.filter((F.col("model") == model) & F.col("score").isNotNull())
+    return known.join(tensors.select("tensor").distinct(), "tensor", "left_semi").groupBy("tensor").agg(F.max("score").alias("score"))
+
+
 def neighbours(edges: DataFrame, node, k: int) -> DataFrame:
     """The k heaviest neighbours in both directions, each once."""
     out = edges.filter(F.col("src") == node).select(F.col("dst").alias("node"), "weight")

@@ -140,6 +140,14 @@ def d13_components(t: Tables) -> DataFrame:
     return graph.components(e)
 
 
+@query(f"""WITH RECURSIVE {REL}, e AS (SELECT src + 1000 AS a, dst AS b FROM rel WHERE weight > 99.5), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other),
+c AS (SELECT node, min(other) AS component FROM r GROUP BY node), d AS (SELECT a AS node, count(*) AS degree FROM s GROUP BY a), t AS (SELECT component, count(*) AS size, first(node ORDER BY degree DESC, node) AS node FROM c JOIN d USING (node) GROUP BY component),
+h AS (SELECT component, node FROM t ORDER BY size DESC, component LIMIT 1) SELECT h.node AS src, t.node AS dst FROM t, h WHERE t.component <> h.component""")
+def d13_bridge_edges(t: Tables) -> DataFrame:
+    """Edges that join the components of the relations over a weight of 99.5, between their nodes of highest degree."""
+    return graph.bridges(edges(t).filter("weight > 99.5").select((F.col("src") + 1000).alias("src"), "dst"))
+
+
 @query(f"""WITH {REL}, e AS (SELECT src, dst + 1000 AS dst, max(weight) AS weight FROM rel GROUP BY ALL), b AS (SELECT src AS i, dst AS j, weight FROM e UNION ALL SELECT dst, src, weight FROM e) SELECT i, i AS j, round(sum(weight), 6) AS value FROM b GROUP BY i UNION ALL SELECT i, j, round(-weight, 6) FROM b""")
 def d14_laplacian(t: Tables) -> DataFrame:
     e = relations.merged(edges(t), ["src", "dst"], "max").withColumn("dst", F.col("dst") + 1000)

@@ -88,13 +88,6 @@ def t22_path_hierarchy(t: Tables) -> DataFrame:
     return paths.select(F.explode(F.arrays_zip(F.expr("slice(p, 1, size(p) - 1)").alias("parent"), F.expr("slice(p, 2, size(p) - 1)").alias("child"))).alias("e")).select("e.*").distinct()
 
 
-@query("""WITH m(l, r) AS (VALUES ('t', 'h'), ('th', 'e'), ('i', 'n')) SELECT l AS source, l || r AS target, 'M' AS relation_type FROM m UNION ALL SELECT r, l || r, 'M' FROM m""")
-def t23_merge_edges(t: Tables) -> DataFrame:
-    m = t.spark.createDataFrame([("t", "h"), ("th", "e"), ("i", "n")], "l string, r string")
-    both = F.concat("l", "r").alias("target")
-    return m.select(F.col("l").alias("source"), both).unionByName(m.select(F.col("r").alias("source"), both)).withColumn("relation_type", F.lit("M"))
-
-
 @query("""SELECT event_id, k AS key, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
 def src12_t24_flattened_json(t: Tables) -> DataFrame:
     """One row per top-level key of a JSON text."""

@@ -16,7 +16,7 @@ import __spark_entry__ as entry
 from glyphsphere.functions import hashing, hilbert
 from glyphsphere.operators import compositions, graph, learners, maintenance, relations, scoring, topk
 from glyphsphere.plans import catalog
-from glyphsphere.sources import atoms, files
+from glyphsphere.sources import atoms, files, sinks
 from glyphsphere.streaming import ratings
 
 DATA = "/root/testdata/sf0.001"
@@ -187,6 +187,26 @@ def test_spectral_coordinates_are_orthonormal(spark):
     assert np.allclose(c.T @ c, np.eye(4), atol=1e-9)
 
 
+def test_lanczos_equals_the_dense_eigenvectors(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(i, i + 1) for i in range(39)} | {tuple(sorted(map(int, rng.choice(40, 2, False)))) for _ in range(40)}
+    df = spark.createDataFrame([(i, j, float(rng.uniform(0.2, 1))) for i, j in sorted(pairs)], "src long, dst long, weight double")
+    dense = np.array([list(r)[1:] for r in graph.spectral_coordinates(df).orderBy("node").collect()])
+    steps = np.array([list(r)[1:] for r in graph.spectral_coordinates(df, dense=5).orderBy("node").collect()])
+    assert np.allclose(np.abs((dense * steps).sum(0)), 1, atol=1e-4) and np.allclose(steps.T @ steps, np.eye(4), atol=1e-6)
+
+
+def test_bridges_connect_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (5, 6), (8, 7), (7, 9)], "src long, dst long")
+    assert sorted(map(tuple, graph.bridges(e).collect())) == [(2, 5), (2, 7)]
+
+
+def test_points_as_ewkb(spark):
+    p = [(1, 0.5, -1.0, 2.0, 3.25), (2, 0.0, 0.0, 0.0, 1.0)]
+    rows = sinks.with_ewkb(spark.createDataFrame(p, "id long, x double, y double, z double, m double")).collect()
+    assert {r["id"]: bytes(r["ewkb"]) for r in rows} == {i: files.point_ewkb([tuple(x)]) for i, *x in p}
+
+
 def test_batch_knn_is_exact(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 8))
