@@ -9,7 +9,7 @@ from glyphsphere.functions import codepoints as C
 from glyphsphere.functions import geometry as G
 from glyphsphere.functions import hashing as H
 from glyphsphere.functions import hilbert as HB
-from glyphsphere.operators import topk
+from glyphsphere.operators import contraction, topk
 from glyphsphere.plans.registry import Tables, query
 from glyphsphere.plans.vector_queries import PTS, QUANT, UNIT, D, points, quantized, r6, unit
 from glyphsphere.sources import atoms as A
@@ -258,3 +258,11 @@ def g21_jittered_layout(t: Tables) -> DataFrame:
     """Every code point moved a little by a repeatable draw and put back on the sphere."""
     j = A.jittered(A.points(t.spark), 1e-6)
     return j.select("codepoint", *(F.round(a, 5).alias(a) for a in G.AXES))
+
+
+@query()
+def t11_contracted(t: Tables) -> DataFrame:
+    """Each text contracted to one node by mutual information, then by nearest angle: steps and joined places of both phases."""
+    steps = contraction.contracted(t.documents, A.points(t.spark))
+    of = lambda phase: F.when(F.col("phase") == phase, F.col("n"))
+    return steps.groupBy("doc_id").agg(F.count(of("information")).alias("information_steps"), F.count(of("angle")).alias("angle_steps"), F.sum("n").alias("joined"), F.max("made").alias("last_node"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphsphere.functions import hashing, hilbert
-from glyphsphere.operators import compositions, graph, learners, maintenance, relations, scoring, topk
+from glyphsphere.operators import compositions, contraction, graph, learners, maintenance, relations, scoring, topk
 from glyphsphere.plans import catalog
 from glyphsphere.sources import atoms, files, sinks
 from glyphsphere.streaming import ratings
@@ -284,6 +284,56 @@ def test_pair_merges_of_all_documents(spark):
     assert all(sorted(got[k]) == brute_merges(docs[k]) for k in got if len(docs[k]) < 1000)
 
 
+def brute_contraction(text, where, twice=2):
+    """Lists searched anew for every step; a pair's information is kept until its count changes."""
+    names = sorted(set(text))
+    seq, spots, depth, made, out, rated, counts = [names.index(c) for c in text], [where(c) for c in names], [0] * len(names), {}, [], {}, {}
+    while len(seq) > 1:
+        if (now := Counter(zip(seq, seq[1:]))) != counts:
+            single = Counter(seq)
+            for p in now:
+                if now[p] != counts.get(p):
+                    rated[p] = math.log2((now[p] / (len(seq) - 1)) / ((single[p[0]] / len(seq)) * (single[p[1]] / len(seq))))
+            counts = now
+        good = [(-rated[p], p) for p in counts if counts[p] >= twice and rated[p] > 0]
+        if good:
+            pair = min(good)[1]
+            at = range(len(seq))
+        else:
+            dots = [sum(a * b for a, b in zip(spots[x], spots[y])) for x, y in zip(seq, seq[1:])]
+            i = min(range(len(dots)), key=lambda k: (math.acos(max(-1, min(1, dots[k]))), k))
+            pair, at = (seq[i], seq[i + 1]), [i]
+        if pair not in made:
+            made[pair] = len(spots)
+            depth.append(max(depth[pair[0]], depth[pair[1]]) + 1)
+            spots.append(contraction.between(spots[pair[0]], spots[pair[1]], depth[-1]))
+        new, i, n = [], 0, 0
+        while i < len(seq):
+            if i in at and tuple(seq[i : i + 2]) == pair:
+                new.append(made[pair])
+                i, n = i + 2, n + 1
+            else:
+                new.append(seq[i])
+                i += 1
+        out.append((*pair, made[pair], "information" if good else "angle", n))
+        seq = new
+    return out
+
+
+def test_contraction_equals_brute_force(spark):
+    rng = random.Random(4)
+    spot = {c: contraction._unit(tuple(rng.uniform(-1, 1) for _ in range(4))) for c in "abcde"}
+    for n in [0, 1, 2, 3, 5, 9, 20, 60, 200] * 6:
+        text = "".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(n))
+        got = contraction.contraction(text, spot.__getitem__)
+        assert [(*r[1:6],) for r in got] == brute_contraction(text, spot.__getitem__), text
+        assert sum(r[5] for r in got) == max(0, n - 1)
+    docs = spark.createDataFrame([(1, "abcabc"), (2, None), (3, ""), (4, "a"), (1, "abcabc")], "doc_id long, text string")
+    points = spark.createDataFrame([(ord(c), *p) for c, p in spot.items()], "codepoint long, x double, y double, z double, m double")
+    rows = contraction.contracted(docs, points).groupBy("doc_id").agg(F.sum("n")).collect()
+    assert list(map(tuple, rows)) == [(1, 10)]
+
+
 def test_elo_modes(spark):
     o = spark.createDataFrame([("a", "b", i, 1.0) for i in range(50)], "src string, dst string, ts long, w double")
     r = relations.elo_fold(o, ["src", "dst"], ["ts"], "w").first()
