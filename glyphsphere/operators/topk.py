@@ -100,7 +100,19 @@ def batch_knn(queries: DataFrame, base: DataFrame, k: int | None, metric: str =
     b = b.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     parts = max(1, -(-queries.count() // BLOCK))
     q = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    pairs = q.crossJoin(b).repartition("part", "block")
+    found = _compared(q.crossJoin(b).repartition("part", "block").withColumn("grp", F.lit("")), k, metric, least, itself).drop("grp")
+    if k is None:
+        return found
+    return first_per_group(found, ["src"], _best_first(metric), k)
+
+
+def _best_first(metric: str) -> list[Column]:
+    order = F.round("score", 12)
+    return [order.desc() if metric == "cosine" else order.asc(), F.col("dst")]
+
+
+def _compared(pairs: DataFrame, k: int | None, metric: str, least: float | None, itself: bool) -> DataFrame:
+    """(grp, src, dst, score): the k best of each block ``rows`` for each vector of the block ``queries`` beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(cell) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +120,7 @@ def batch_knn(queries: DataFrame, base: DataFrame, k: int | None, metric: str =
             return rows.field("id").to_numpy(), rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            for group, left, right in zip(*batch.columns, strict=True):
                 (qi, qv), (bi, bv) = table(left), table(right)
                 order = np.argsort(bi)
                 bi, bv = bi[order], bv[order]
@@ -129,10 +141,31 @@ def batch_knn(queries: DataFrame, base: DataFrame, k: int | None, metric: str =
                     take = _least(key, k)
                     rows, cols = np.repeat(np.arange(len(qi)), take.shape[1]), take.ravel()
                 ok = np.isfinite(key[rows, cols])
-                yield pa.RecordBatch.from_arrays([pa.array(qi[rows[ok]]), pa.array(bi[cols[ok]]), pa.array(s[rows[ok], cols[ok]])], ["src", "dst", "score"])
+                src, dst, score = pa.array(qi[rows[ok]]), pa.array(bi[cols[ok]]), pa.array(s[rows[ok], cols[ok]])
+                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(src), pa.string()), src, dst, score], ["grp", "src", "dst", "score"])
 
-    found = pairs.select("queries", "rows").mapInArrow(run, "src long, dst long, score double")
-    if k is None:
-        return found
-    order = F.round("score", 12)
-    return first_per_group(found, ["src"], [order.desc() if metric == "cosine" else order.asc(), F.col("dst")], k)
+    return pairs.select("grp", "queries", "rows").mapInArrow(run, "grp string, src long, dst long, score double")
+
+
+def knn_within(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", least: float | None = None, itself: bool = False) -> DataFrame:
+    """(grp, src, dst, score): the k best rows of ``base`` for each query in each group (grp, id, v) that both have, group by group
+    and block by block; not yet ranked over the blocks of a group.
+
+    A group of any size is dealt into shares of about a block of base rows, and each query of the group meets every share; where
+    a share has more than 16 blocks of queries, it is copied, so that no task holds a large group.
+    """
+    size = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    groups = size(base, "shares").join(size(queries, "parts"), "grp").withColumn("copies", F.ceil(F.col("parts") / 16).cast("int"))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = F.collect_list(F.struct("id", "v"))
+    b = base.join(groups, "grp").withColumn("share", dealt("shares")).groupBy("grp", "share", "copies").agg(rows.alias("rows"))
+    b = b.select("grp", "share", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "rows")
+    q = queries.join(groups, "grp").withColumn("part", dealt("parts")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    q = q.groupBy("grp", "share", "part", F.pmod("part", "copies").alias("copy")).agg(rows.alias("queries"))
+    return _compared(q.join(b, ["grp", "share", "copy"]), k, metric, least, itself)
+
+
+def group_knn(df: DataFrame, k: int, group: str, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None) -> DataFrame:
+    """(group, src, dst, score, rank): exact k best for each row among the others of its group; ties go to the smaller id."""
+    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return first_per_group(knn_within(rows, rows, k, metric, least), ["grp", "src"], _best_first(metric), k).withColumnRenamed("grp", group)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsphere.functions import geometry as G
 from glyphsphere.functions import vectors as V
-from glyphsphere.operators import topk
+from glyphsphere.operators import cells, extraction, topk
 from glyphsphere.plans.registry import Tables, query
 
 PTS = "pts AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS m FROM embeddings)"
@@ -88,11 +88,19 @@ def v11_int8(t: Tables) -> DataFrame:
 
 @query(f"""WITH {VEC} SELECT src, dst, round(sim, 6) AS sim, rank FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim,
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM vec a JOIN vec b ON a.vec_id <> b.vec_id) WHERE rank <= 10""")
-def k14_j4_v8_knn_edges(t: Tables) -> DataFrame:
+def k14_j4_knn_edges(t: Tables) -> DataFrame:
     e = t.embeddings
     return topk.batch_knn(e, e, 10).select("src", "dst", r6(F.col("score"), "sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query()
+def v8_approximate_knn(t: Tables) -> DataFrame:
+    """Ten nearest of all vectors for each whose id is divisible by 20, out of the nearest cells; tests hold the recall to 0.9."""
+    e = t.embeddings.select("vec_id", "embedding")
+    found = cells.approximate_knn(e.filter("vec_id % 20 = 0"), e, 10, cells.fit(e, 10))
+    return found.select("src", "dst", r6(F.col("score"), "sim"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(f"""WITH {VEC} SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j, round(sim, 6) AS weight FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim,
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM vec a JOIN vec b ON a.vec_id <> b.vec_id) WHERE rank <= 8 AND sim >= 0.3""")
 def d12_similarity_graph(t: Tables) -> DataFrame:
@@ -261,14 +269,48 @@ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a
 
 _rx("rx1_embedding_edges", 15, 0.45, "E", quality=0.81)
 _rx("rx2_weight_row_edges", 15, 0.5, "S", "label < 5")
-_rx("rx3_attention_edges", 8, 0.1, "A", "vec_id % 2 = 0")
-_rx("rx4_rx5_position_edges", 5, 0.2, "T", "label >= 5")
+_rx("rx5_position_edges", 5, 0.2, "T", "label >= 5")
 _rx("rx6_visual_edges", 5, 0.2, "V", "label % 2 = 1")
 
+WEIGHTS = f"""{VEC}, weights AS (SELECT 'model.layers.' || label || '.self_attn.q_proj.weight' AS tensor, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS row, v FROM vec)"""
 
-@query(f"""WITH {VEC} SELECT src, dst, round(sim, 6) AS weight FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim,
-row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM vec a JOIN vec b ON a.label = 0 AND b.label <> 0) WHERE rank <= 15 AND sim >= 0.25""")
-def rx7_rx8_rx9_rows_to_tokens(t: Tables) -> DataFrame:
-    e = t.embeddings
-    k = topk.batch_knn(e.filter("label = 0"), e.filter("label <> 0"), 15).filter("score >= 0.25")
-    return k.select("src", "dst", r6(F.col("score"), "weight"))
+
+def weights(t: Tables) -> DataFrame:
+    """Vectors as rows of one attention matrix a label."""
+    name = F.concat(F.lit("model.layers."), "label", F.lit(".self_attn.q_proj.weight"))
+    row = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return t.embeddings.select(name.alias("tensor"), row.cast("bigint").alias("row"), F.col("embedding").alias("values"))
+
+
+@query(f"""WITH {WEIGHTS}, s AS (SELECT * FROM weights JOIN (SELECT tensor, greatest(1, (max(row) + 1) // 16) AS stride FROM weights GROUP BY ALL) USING (tensor) WHERE row % stride = 0)
+SELECT tensor, CAST(label AS INTEGER) AS layer, 'q_proj' AS component, src, dst, 'A' AS relation_type, round(sim, 6) AS weight FROM (SELECT a.tensor, a.label, a.row AS src, b.row AS dst, list_cosine_similarity(a.v, b.v) AS sim,
+row_number() OVER (PARTITION BY a.tensor, a.row ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.row) AS rank FROM s a JOIN s b ON a.tensor = b.tensor AND a.row <> b.row) WHERE rank <= 8 AND sim >= 0.1 AND src < dst""")
+def rx3_attention_edges(t: Tables) -> DataFrame:
+    """Edges within each label's matrix; about 16 rows of each, so that small tables have strides too."""
+    return extraction.attention_edges(weights(t), most=16).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {WEIGHTS}, p AS (SELECT e.vec_id, w.label, list(list_inner_product(e.v, w.v) ORDER BY w.row) AS v FROM vec e JOIN weights w ON w.label < 2 GROUP BY ALL)
+SELECT 'L' || label || '/q' AS component, src, dst, round(sim, 6) AS weight FROM (SELECT a.label, a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim,
+row_number() OVER (PARTITION BY a.label, a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 5 AND sim >= 0.4""")
+def rx4_projection_edges(t: Tables) -> DataFrame:
+    """All vectors projected by the matrices of the first two layers (the operator's own limit), and their neighbours there."""
+    edges = extraction.projection_edges(t.embeddings, weights(t), 64, least=0.4, least_rows=8)
+    return edges.withColumn("weight", F.round("weight", 6))
+
+
+def _modality(name: str, case: str, tokens: str, doc: str):
+    sql = f"""WITH {VEC}, s AS (SELECT *, {case} AS component FROM vec) SELECT component, src, dst, 'C' AS relation_type, round(sim, 6) AS weight FROM (SELECT a.component, a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim,
+row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM s a JOIN vec b ON a.component IS NOT NULL AND b.{tokens}) WHERE rank <= 15 AND sim >= 0.25"""
+
+    def run(t: Tables) -> DataFrame:
+        rows = t.embeddings.withColumn("component", F.expr(case)).filter("component IS NOT NULL")
+        return extraction.modality_edges(rows, t.embeddings.filter(tokens), least=0.25).withColumn("weight", F.round("weight", 6))
+
+    run.__name__, run.__doc__ = name, doc
+    query(sql)(run)
+
+
+_modality("rx7_object_query_edges", "CASE WHEN label = 0 THEN 'OBJECT_QUERY' END", "label > 4", "Object queries (label 0) to the tokens (labels above 4) nearest.")
+_modality("rx8_router_edges", "CASE label WHEN 1 THEN 'POSITIONAL' WHEN 2 THEN 'MOE_ROUTER' WHEN 3 THEN 'CLASS_HEAD' END", "label > 4", "Positional, router and class-head rows to tokens.")
+_modality("rx9_modality_edges", "CASE label WHEN 4 THEN 'CHEMICAL' WHEN 0 THEN 'DNA' END", "label > 4", "Rows of named modalities to tokens.")

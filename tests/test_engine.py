@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphsphere.functions import hashing, hilbert
-from glyphsphere.operators import compositions, contraction, graph, learners, maintenance, relations, scoring, topk
+from glyphsphere.operators import cells, compositions, contraction, extraction, graph, learners, maintenance, relations, scoring, topk
 from glyphsphere.plans import catalog
 from glyphsphere.sources import atoms, files, sinks
 from glyphsphere.streaming import ratings
@@ -389,3 +389,66 @@ def test_streamed_ratings_equal_batch(spark, tmp_path):
     got = {(r["src"], r["dst"]): r["rating"] for r in spark.sql("SELECT src, dst, max_by(rating, observations) AS rating FROM rated GROUP BY ALL").collect()}
     want = {(r["src"], r["dst"]): r["rating"] for r in relations.elo_fold(df, ["src", "dst"], ["ts"], "weight").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def neighbours_by_hand(ids, v, asked, k):
+    n = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(n @ n.T, 12)
+    return {i: [ids[j] for j in sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[i, j], ids[j]))[:k]] for i in asked}
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "hot"])
+def test_cells_find_nine_of_ten_neighbours(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1200, 12))
+    if kind != "random":
+        v = rng.normal(size=(30, 12))[rng.integers(0, 30, 1200)] + 0.2 * v
+    if kind == "hot":
+        v[:400] = v[0]
+        monkeypatch.setattr(topk, "BLOCK", 7)
+    rows = [(i, [float(x) for x in r], "x") for i, r in enumerate(v)] + [(5000, None, "x"), (5001, [0.0] * 12, "x"), (5002, [1.0], "x"), (None, [1.0] * 12, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cells string")
+    index = cells.fit(df, 10)
+    got = {}
+    for r in cells.approximate_knn(df.filter("vec_id % 20 = 0"), df, 10, index).collect():
+        got.setdefault(r["src"], {})[r["rank"]] = r["dst"]
+    want = neighbours_by_hand(list(range(1200)), v, range(0, 1200, 20), 10)
+    assert set(got) == set(want) and all(len(g) == 10 for g in got.values())
+    assert np.mean([len(set(got[i].values()) & set(want[i])) / 10 for i in want]) >= 0.9
+    if kind == "clustered":
+        assert index.probes < len(index.centres) / 2
+
+
+def test_cells_of_an_empty_table(spark):
+    none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
+    assert cells.approximate_knn(none, none, 3, cells.fit(none)).count() == 0
+
+
+def test_neighbours_stay_in_their_group(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 5)
+    v = np.random.default_rng(6).normal(size=(90, 4))
+    df = spark.createDataFrame([(i, "big" if i < 80 else "small", [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, name string, embedding array<double>")
+    got = {(r["name"], r["src"], r["rank"]): r["dst"] for r in topk.group_knn(df, 3, "name").collect()}
+    for name, ids in (("big", range(80)), ("small", range(80, 90))):
+        want = neighbours_by_hand(list(ids), v[list(ids)], range(len(ids)), 3)
+        assert all(got[name, ids[i], n + 1] == x for i, xs in want.items() for n, x in enumerate(xs))
+    assert len(got) == 270
+
+
+def test_projections_are_chosen_and_multiplied_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    w = {n: rng.normal(size=(r, 3)) for n, r in (("m.layers.0.q_proj.a", 5), ("m.layers.0.q_proj.b", 5), ("m.layers.2.up_proj", 6), ("m.layers.3.k_proj", 2), ("m.norm", 9))}
+    rows = spark.createDataFrame([(n, i, [float(x) for x in r]) for n, m in w.items() for i, r in enumerate(m)] + [("m.layers.1.v_proj", 7, [1.0])], "tensor string, row long, values array<double>")
+    assert extraction.chosen_projections(rows, 3, 4) == [("m.layers.0.q_proj.a", 0, "q", 5), ("m.layers.2.up_proj", 2, "up", 6)]
+    monkeypatch.setattr(extraction, "SLICE_BYTES", 48)
+    v = rng.normal(size=(10, 3))
+    e = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(99, None)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["values"] for r in extraction.projected(e, rows, "m.layers.0.q_proj.a", 5, 3).collect()}
+    assert set(got) == set(range(10)) and all(np.allclose(got[i], w["m.layers.0.q_proj.a"] @ v[i]) for i in got)
+    assert extraction.projection_edges(e, rows, 7).count() == 0
+
+
+def test_attention_rows_are_strided(spark):
+    rows = [("a.layers.3.self_attn.k_proj.weight", i, [1.0, float(i)]) for i in range(10)] + [("a.layers.3.mlp.weight", i, [1.0, 1.0]) for i in range(4)]
+    got = extraction.attention_edges(spark.createDataFrame(rows, "tensor string, row long, values array<double>"), k=2, most=4).collect()
+    assert got and {(r["layer"], r["component"]) for r in got} == {(3, "k_proj")} and all(r["src"] % 2 == 0 == r["dst"] % 2 and r["src"] < r["dst"] for r in got)
