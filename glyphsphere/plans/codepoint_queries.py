@@ -77,6 +77,13 @@ def src3_src6_seeded(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "run int, written long, total long")
 
 
+@query("SELECT c_custkey, CAST(place AS INTEGER) AS place, CAST(unicode(c) AS BIGINT) AS codepoint FROM (SELECT c_custkey, unnest(string_split(c_name, '')) AS c, generate_subscripts(string_split(c_name, ''), 1) - 1 AS place FROM customer)")
+def j12_ordered_characters(t: Tables) -> DataFrame:
+    """The atom at each place of a name; characters that are no atom drop out of the join."""
+    c = t.customer.select("c_custkey", F.posexplode(C.chars(F.col("c_name"))).alias("place", "c")).withColumn("codepoint", F.ascii("c").cast("bigint"))
+    return c.join(A.codepoints(t.spark).select("codepoint"), "codepoint").select("c_custkey", "place", "codepoint")
+
+
 @query("SELECT unicode(c) AS codepoint, c AS char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) GROUP BY ALL")
 def t1_t2_characters(t: Tables) -> DataFrame:
     c = t.documents.select(F.explode(C.chars(F.col("text"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphsphere.functions import geometry as G
-from glyphsphere.operators import graph, maintenance, relations, scoring, topk
+from glyphsphere.operators import graph, maintenance, ordered, relations, scoring, topk
 from glyphsphere.plans.registry import Tables, query
 from glyphsphere.plans.text_queries import PAIRS, PMI, TOK, bigrams, pair_counts, pmi, unigrams
 from glyphsphere.plans.vector_queries import PTS, D, points, r6
@@ -439,3 +439,40 @@ def extra_cube(t: Tables) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def extra_event_windows(t: Tables) -> DataFrame:
     return t.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("""SELECT p.event_id, v.ts AS viewed FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def extra_as_of_join(t: Tables) -> DataFrame:
+    """The last view of the same user at or before each purchase."""
+    e = t.events.select("event_id", "user_id", "event_type", "ts")
+    bought, seen = e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'").withColumn("viewed", F.col("ts"))
+    return ordered.as_of(bought, seen, ["user_id"], "ts", ["viewed"], "7 days").select("event_id", "viewed")
+
+
+@query("""SELECT p.event_id, count(v.event_id) AS views FROM events p LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = p.user_id AND v.ts BETWEEN p.ts - INTERVAL 1 DAY AND p.ts WHERE p.event_type = 'purchase' GROUP BY ALL""")
+def extra_interval_join(t: Tables) -> DataFrame:
+    """Views of the same user in the day before each purchase, counted over a range of time in place of joined pairs."""
+    e = t.events.select("event_id", "event_type", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    day = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86_400_000_000, 0)
+    return e.withColumn("views", F.count_if(F.col("event_type") == "view").over(day)).filter("event_type = 'purchase'").select("event_id", "views")
+
+
+@query("""SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)""")
+def extra_set_operations(t: Tables) -> DataFrame:
+    """Nations with customers and suppliers, but without a customer of a large balance."""
+    c, s = t.customer.select("c_nationkey"), t.supplier.select("s_nationkey")
+    keys = c.intersect(s).exceptAll(t.customer.filter("c_acctbal > 9900").select("c_nationkey").distinct())
+    return t.nation.join(keys, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_nationkey")
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS place, o_totalprice - lag(o_totalprice) OVER c AS change, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING), 4) AS recent
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC), c AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def extra_rank_lag(t: Tables) -> DataFrame:
+    """Each order's place by price, its change from the order before and the mean of three, by customer."""
+    one = Window.partitionBy("o_custkey")
+    by_time = one.orderBy("o_orderdate", "o_orderkey")
+    price = F.col("o_totalprice")
+    return t.orders.select(
+        "o_orderkey", F.rank().over(one.orderBy(price.desc())).cast("bigint").alias("place"), (price - F.lag(price).over(by_time)).alias("change"),
+        F.round(F.avg(price).over(by_time.rowsBetween(-2, 0)), 4).alias("recent"),
+    )

@@ -176,6 +176,12 @@ def t10_merges(t: Tables) -> DataFrame:
     return learners.pair_merges(t.documents.select("doc_id", "text"))
 
 
+@query()
+def t10_pair_trees(t: Tables) -> DataFrame:
+    """The merges of each document followed by the closing pairs of what they leave, up to one root."""
+    return learners.pair_trees(t.documents.select("doc_id", "text"))
+
+
 @query()
 def t12_grammar(t: Tables) -> DataFrame:
     """Digram-unique grammars per document (rules used twice or more)."""

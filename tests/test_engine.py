@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphsphere.functions import hashing, hilbert
-from glyphsphere.operators import cells, compositions, contraction, extraction, graph, learners, maintenance, relations, scoring, topk
+from glyphsphere.operators import cells, compositions, contraction, extraction, graph, learners, maintenance, ordered, relations, scoring, topk
 from glyphsphere.plans import catalog
 from glyphsphere.sources import atoms, files, sinks
 from glyphsphere.streaming import ratings
@@ -452,3 +452,26 @@ def test_attention_rows_are_strided(spark):
     rows = [("a.layers.3.self_attn.k_proj.weight", i, [1.0, float(i)]) for i in range(10)] + [("a.layers.3.mlp.weight", i, [1.0, 1.0]) for i in range(4)]
     got = extraction.attention_edges(spark.createDataFrame(rows, "tensor string, row long, values array<double>"), k=2, most=4).collect()
     assert got and {(r["layer"], r["component"]) for r in got} == {(3, "k_proj")} and all(r["src"] % 2 == 0 == r["dst"] % 2 and r["src"] < r["dst"] for r in got)
+
+
+def test_as_of_join_takes_the_last_row_before(spark):
+    rng = random.Random(3)
+    left = [(i, rng.choice("ab"), rng.randrange(400)) for i in range(120)] + [(500, None, 5), (501, "a", None)]
+    right = [(rng.choice("ab"), rng.randrange(400), rng.randrange(9)) for _ in range(60)]
+    at = "timestamp_seconds(1700000000 + 3600 * t) AS ts"
+    df = spark.createDataFrame(left, "id long, k string, t long").selectExpr("id", "k", "t", at)
+    other = spark.createDataFrame(right, "k string, t long, v long").selectExpr("k", "v", "t AS seen", at)
+    want = {i: max(((s, v) for q, s, v in right if q == k and t is not None and s <= t), default=(None, None)) for i, k, t in left}
+    for slot in (None, "1 day"):
+        got = {r["id"]: (r["seen"], r["v"]) for r in ordered.as_of(df, other, ["k"], "ts", ["seen", "v"], slot).collect()}
+        assert {i: got.get(i) for i in range(120)} == {i: want[i] for i in range(120)} and {500, 501} <= set(got)
+
+
+def test_pair_trees_end_in_one_root(spark):
+    text = "abcabcabd xyz"
+    rows = [r for r in learners.pair_trees(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "q")], "doc_id long, text string")).collect()]
+    assert {r["doc_id"] for r in rows} == {1}
+    rows.sort(key=lambda r: r["step"])
+    assert (rows[0]["left"], rows[0]["right"], rows[0]["level"]) == ("a", "b", 0) and [r["step"] for r in rows] == list(range(len(rows)))
+    assert (rows[-1]["start"], rows[-1]["end"]) == (0, len(text)) and all(r["start"] < r["middle"] < r["end"] for r in rows if r["level"])
+    assert learners.closing_pairs(["ab", "c", "d", "ef", "g"]) == [(1, 0, 2, 3), (1, 3, 4, 6), (2, 0, 3, 6), (3, 0, 6, 7)]
