@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphsphere.functions import geometry as G
 from glyphsphere.functions import vectors as V
-from glyphsphere.operators import cells, extraction, topk
+from glyphsphere.operators import cells, extraction, layout, topk
 from glyphsphere.plans.registry import Tables, query
 
 PTS = "pts AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS m FROM embeddings)"
@@ -134,6 +134,19 @@ def quantized(t: Tables) -> DataFrame:
     return unit(t).select("vec_id", "label", *(c.alias(a) for c, a in zip(G.quantized(G.point()), G.AXES, strict=True)))
 
 
+FORCE = ", ".join(f"sum((a.{c}-b.{c}) * 10 / (d*d + 1e-8) / d) AS f{c}" for c in "xyzm")
+
+
+@query(f"""WITH {UNIT}, near AS (SELECT a.vec_id AS src, b.vec_id AS dst, {D} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({D}, 12), b.vec_id) AS k FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+f AS (SELECT src, {FORCE} FROM near JOIN unit a ON a.vec_id = src JOIN unit b ON b.vec_id = dst WHERE k <= 8 GROUP BY src),
+g AS (SELECT vec_id, x, y, z, m, {", ".join(f"f{c} - (x*fx+y*fy+z*fz+m*fm) * {c} AS f{c}" for c in "xyzm")} FROM unit JOIN f ON src = vec_id),
+h AS (SELECT vec_id, {", ".join(f"{c} + f{c} * least(1, 0.05 / sqrt(fx*fx+fy*fy+fz*fz+fm*fm)) AS {c}" for c in "xyzm")} FROM g)
+SELECT vec_id, {", ".join(f"round({c} / sqrt(x*x+y*y+z*z+m*m), 6) AS {c}" for c in "xyzm")} FROM h""")
+def g21_repelled_layout(t: Tables) -> DataFrame:
+    """Unit points moved away from their eight nearest, by 0.05 at most."""
+    return layout.repelled(unit(t), longest=0.05).select("vec_id", *(r6(F.col(a), a) for a in G.AXES))
+
+
 @query(f"""WITH {QUANT} SELECT vec_id, x, y, z, m, ((x-2147483648)/2147483647.5)**2+((y-2147483648)/2147483647.5)**2+((z-2147483648)/2147483647.5)**2+((m-2147483648)/2147483647.5)**2 BETWEEN 0.99 AND 1.01 AS on_surface,
 round(x / 4294967295 * 2 - 1, 6) AS back_x FROM quant""")
 def g5_g6_g7_g23_quantized(t: Tables) -> DataFrame:

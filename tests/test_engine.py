@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphsphere.functions import hashing, hilbert
-from glyphsphere.operators import cells, compositions, contraction, extraction, graph, learners, maintenance, ordered, relations, scoring, topk
+from glyphsphere.operators import cells, compositions, contraction, extraction, graph, layout, learners, maintenance, ordered, relations, scoring, topk
 from glyphsphere.plans import catalog
 from glyphsphere.sources import atoms, files, sinks
 from glyphsphere.streaming import ratings
@@ -475,3 +475,14 @@ def test_pair_trees_end_in_one_root(spark):
     assert (rows[0]["left"], rows[0]["right"], rows[0]["level"]) == ("a", "b", 0) and [r["step"] for r in rows] == list(range(len(rows)))
     assert (rows[-1]["start"], rows[-1]["end"]) == (0, len(text)) and all(r["start"] < r["middle"] < r["end"] for r in rows if r["level"])
     assert learners.closing_pairs(["ab", "c", "d", "ef", "g"]) == [(1, 0, 2, 3), (1, 3, 4, 6), (2, 0, 3, 6), (3, 0, 6, 7)]
+
+
+def test_repulsion_spreads_points(spark):
+    v = np.random.default_rng(4).normal(size=(80, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, *map(float, x)) for i, x in enumerate(v)] + [(80, *map(float, v[0]))]
+    gap = lambda p: np.sort(np.linalg.norm(p[:, None] - p, axis=2) + 9 * np.eye(len(p)), axis=1)[:, 0].mean()
+    out = layout.repelled(spark.createDataFrame(rows, "vec_id long, x double, y double, z double, m double"), 4, 3, 0.02).orderBy("vec_id").toPandas()[list("xyzm")].to_numpy()
+    assert np.allclose(np.linalg.norm(out, axis=1), 1) and gap(out[:80]) > gap(v)
+    one = spark.createDataFrame(rows[:1], "vec_id long, x double, y double, z double, m double")
+    assert np.allclose(list(layout.repelled(one).first())[1:], v[0])
