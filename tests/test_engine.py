@@ -3,8 +3,10 @@ import json
 import math
 import os
 import random
+import re
 import struct
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -118,6 +120,18 @@ def test_compositions_of_several_levels_share_nodes(spark):
     assert bad["leaves_with_children"] == 1 and bad["ordinal_gaps"] == 1 and bad["child_count"] == 2 and bad["atom_count"] == 1
 
 
+def test_centroids_round_halves_up(spark, tmp_path):
+    texts = ["Nd inerha.\n", "Ha erorer.\n", "Èqueleé une. ", "Hain erater.\n", "Enverte beö. ", "Shwhble the.\n"]  # each a half at the seventh decimal
+    spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.node: r.x for r in catalog.QUERIES["a3_a4_hierarchical_centroids"](spark, str(tmp_path)).collect()}
+    mean = lambda xs: sum(xs, Fraction(0)) / len(xs)
+    for s in texts:
+        words = re.findall(r"\S+\s*", s)
+        x = mean([mean([Fraction(ord(c), 1000) for c in w]) for w in words]) * 10**6
+        assert x % 1 == Fraction(1, 2)
+        assert found[hashlib.md5(s.encode()).hexdigest()] == float((x + Fraction(1, 2)) / 10**6)
+
+
 def test_ingested_texts_round_trip(spark):
     texts = ["One two. Three!\n\nFour", "Four", "x", "", None, "  lead and trail \n", "same same. same same. ", "a.b.c"]
     kids, atoms = compositions.ingested(spark.createDataFrame([(t,) for t in texts], "text string"))
