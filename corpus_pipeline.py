@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsphere.llm import decontamination, language, line_dedup, near_dedup, packing
-from glyphsphere.llm.common import materialize
+from glyphsphere.llm.common import bound_batches, materialize
 
 #: Documents whose n-grams fit no language better than this (0 to 1) are rejected, as are those without a letter. Of 10,000
 #: documents, 1 % score under 0.53 and two under 0.4: one word over and over, and a fragment in capitals.
@@ -19,6 +19,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts, empty ones and texts without a letter go. Repeated rows go or stay alike. Where no document has a
     language, none can be told and all go. Empty table: no rows.
     """
+    bound_batches(spark)
     found = language.identify(docs, language.learn(docs))
     found = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
@@ -27,6 +28,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the runs of lines that occur earlier; ``n_chars``, if there is one, follows. Null texts, repeated
     rows and the empty table stay as they are."""
+    bound_batches(spark)
     out = line_dedup.deduplicated(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -35,6 +37,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the smallest doc_id; of repeated rows one. Null texts all stay."""
+    bound_batches(spark)
     return near_dedup.deduplicated(docs).select(docs.columns)
 
 
@@ -45,6 +48,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 4096 tokens; null texts are one end id. Empty table: no rows."""
+    bound_batches(spark)
     return packing.pieces(docs)
 
 

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from glyphsphere.llm import decontamination, near_dedup, ordering, packing, queries, substring_dedup, token_files, tokenization
+from glyphsphere.llm import common, decontamination, near_dedup, ordering, packing, queries, substring_dedup, token_files, tokenization
 from glyphsphere.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -272,3 +272,23 @@ def test_pipeline_against_brute_force(spark):
     assert all(crc(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for r in out)
     ends = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
     assert [s * 4096 + o for s, o, _ in ends] == [0, *np.cumsum([n for *_, n in ends])[:-1]]
+
+
+def test_pipeline_bounds_what_a_worker_gets_at_once(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    wide = spark.range(0, 2000, numPartitions=1).selectExpr("repeat('x', 4096) AS text")  # 8 MB
+    sizes = lambda: [r[0] for r in wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    whole = {}
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, DATA)
+            if name != "decontamination":  # no Python there
+                assert sum(sizes()) > 8e6 and max(sizes()) < common.BATCH_BYTES + 10_000, name
+        for most in ("64m", "4k"):  # wherever batches are cut, the result is the same; a lower setting stays
+            spark.conf.set(key, most)
+            whole[most] = sorted(corpus_pipeline.run(spark, DATA).collect())
+        assert whole["64m"] == whole["4k"] and spark.conf.get(key).startswith("4")
+    finally:
+        spark.conf.unset(key)
