@@ -55,17 +55,25 @@ def projected(embeddings: DataFrame, rows: DataFrame, tensor: str, n: int, width
 
     The matrix is taken in slices of 32 MB, each one matrix product a batch; a row that the matrix lacks counts as zeros.
     """
-    out = embeddings.filter(F.size(vec_col) == width).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.array().cast("array<double>").alias("p"))
+    out = _unprojected(embeddings, width, id_col, vec_col)
     step = max(1, SLICE_BYTES // (8 * width))
     for first in range(0, n, step):
         part = rows.filter((F.col("tensor") == tensor) & F.col("row").between(first, min(n, first + step) - 1)).select("row", F.col("values").cast("array<double>")).collect()
         w = np.zeros((min(step, n - first), width))
         for at, values in part:
             w[at - first] = values
-        out = out.mapInArrow(_times(w), "id long, v array<double>, p array<double>")
+        out = out.mapInArrow(_times(w), PRODUCTS)
     return out.select(F.col("id").alias(id_col), F.col("p").alias("values"))
 
 
+PRODUCTS = "id long, v array<double>, p array<double>"
+
+
+def _unprojected(embeddings: DataFrame, width: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, v, p) of the vectors of a width, without any product."""
+    return embeddings.filter(F.size(vec_col) == width).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.array().cast("array<double>").alias("p"))
+
+
 def _times(w: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,13 +88,38 @@ def _times(w: np.ndarray):
     return run
 
 
+def triangle(rows: DataFrame, tensor: str, width: int) -> np.ndarray:
+    """R of the QR decomposition of a weight matrix W with rows of ``width``: R'R = W'W, so the vectors R v have the same lengths and
+    inner products as W v, in ``width`` numbers. Each task reduces its rows to one triangle, and one task these to one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            step = max(width, SLICE_BYTES // (8 * width))
+            for at in range(0, len(v), step):
+                r = np.linalg.qr(np.concatenate([r, v[at : at + step]]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.float64()))], ["values"])
+
+    part = rows.filter((F.col("tensor") == tensor) & (F.size("values") == width)).select(F.col("values").cast("array<double>").alias("values"))
+    found = part.mapInArrow(run, "values array<double>").repartition(1).mapInArrow(run, "values array<double>").collect()
+    return np.array([r[0] for r in found]).reshape(-1, width)
+
+
 def projection_edges(embeddings: DataFrame, rows: DataFrame, width: int, k: int = 5, least: float = 0.7, least_rows: int = 64, most: int = 2) -> DataFrame:
-    """(component, src, dst, weight): k nearest by cosine of the vectors once projected, for each chosen projection apart."""
+    """(component, src, dst, weight): k nearest by cosine of the vectors once projected, for each chosen projection apart.
+
+    A matrix of more rows than ``width`` is replaced by its triangle, which leaves all cosines and norms as they are, so that no
+    vector gets longer than the embeddings are."""
     out = None
     for tensor, number, kind, n in chosen_projections(rows, width, least_rows, most):
-        p = projected(embeddings, rows, tensor, n, width)
+        if n > width:
+            p = _unprojected(embeddings, width).mapInArrow(_times(triangle(rows, tensor, width)), PRODUCTS)
+            p = p.select(F.col("id").alias("vec_id"), F.col("p").alias("values"))
+        else:
+            p = projected(embeddings, rows, tensor, n, width)
         p = p.filter(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x) >= LEAST_NORM**2)
-        edges = batch_knn(p, p, k, vec_col="values").filter(F.col("score") >= least)
+        edges = batch_knn(p, p, k, vec_col="values", least=least)
         edges = edges.select(F.lit(f"L{number}/{kind}").alias("component"), "src", "dst", F.col("score").alias("weight"))
         out = edges if out is None else out.unionByName(edges)
     return embeddings.sparkSession.createDataFrame([], "component string, src long, dst long, weight double") if out is None else out
@@ -96,5 +129,5 @@ def modality_edges(rows: DataFrame, tokens: DataFrame, k: int = 15, least: float
     """(component, src, dst, relation_type, weight) from rows (component, vec_id, embedding) of other modalities, such as POSITIONAL,
     MOE_ROUTER or a modality's name, to the k tokens (vec_id, embedding) nearest by cosine; norms under 0.01 don't count."""
     long = lambda df: df.filter(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x) >= LEAST_NORM**2)
-    near = batch_knn(long(rows), long(tokens), k, itself=True).filter(F.col("score") >= least)
+    near = batch_knn(long(rows), long(tokens), k, least=least, itself=True)
     return near.join(rows.select(F.col("vec_id").alias("src"), "component"), "src").select("component", "src", "dst", F.lit("C").alias("relation_type"), F.col("score").alias("weight"))

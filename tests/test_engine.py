@@ -462,6 +462,20 @@ def test_projections_are_chosen_and_multiplied_in_slices(spark, monkeypatch):
     assert extraction.projection_edges(e, rows, 7).count() == 0
 
 
+def test_projections_of_many_rows_stay_as_wide_as_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    w, v = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
+    rows = spark.createDataFrame([("m.layers.4.q_proj", i, list(map(float, r))) for i, r in enumerate(w)], "tensor string, row long, values array<double>")
+    e = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.delattr(extraction, "projected")  # it makes vectors as long as the matrix has rows
+    got = {(r["src"], r["dst"]): r["weight"] for r in extraction.projection_edges(e, rows, 3, k=4, least=0.1, least_rows=8).collect()}
+    p = v @ w.T
+    n = p / np.linalg.norm(p, axis=1)[:, None]
+    s = n @ n.T
+    want = {(i, j) for i in range(30) for j in sorted((j for j in range(30) if j != i), key=lambda j: -s[i, j])[:4] if s[i, j] >= 0.1}
+    assert set(got) == want and all(abs(got[i, j] - s[i, j]) < 1e-12 for i, j in want)
+
+
 def test_attention_rows_are_strided(spark):
     rows = [("a.layers.3.self_attn.k_proj.weight", i, [1.0, float(i)]) for i in range(10)] + [("a.layers.3.mlp.weight", i, [1.0, 1.0]) for i in range(4)]
     got = extraction.attention_edges(spark.createDataFrame(rows, "tensor string, row long, values array<double>"), k=2, most=4).collect()
