@@ -13,7 +13,7 @@ FIRST, K, DECAY, FLOOR, SCALE, TOP = 1500.0, 32.0, 0.95, 4.0, 400.0, 3000.0
 
 def knn_edges(df: DataFrame, k: int, least: float, kind: str, quality: float = 1.0) -> DataFrame:
     """(src, dst, relation_type, weight): the k nearest by cosine that reach a threshold; weight times quality."""
-    return batch_knn(df, df, k).filter(F.col("score") >= least).select("src", "dst", F.lit(kind).alias("relation_type"), (F.col("score") * quality).alias("weight"))
+    return batch_knn(df, df, k, least=least).select("src", "dst", F.lit(kind).alias("relation_type"), (F.col("score") * quality).alias("weight"))
 
 
 def elo_step(rating: Column, weight: Column, seen: Column, mode: str = "max") -> Column:

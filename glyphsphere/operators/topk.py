@@ -73,34 +73,28 @@ def placed(df: DataFrame, order: list, name: str = "place", parts: int | None =
     return spread.withColumn(name, (F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + shift).cast("bigint")).drop("__range")
 
 
-#: Vectors of a reference block: a block is one matrix of a task.
-BLOCK = 4096
-
-
-def _least(key: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k least values of each row, in order, ties by column."""
-    if key.shape[1] > 4 * k:
-        bound = np.partition(key, k - 1, 1)[:, k - 1 : k]
-        near = max(k, int((key <= bound).sum(1).max()))
-        some = np.sort(np.argpartition(np.where(key <= bound, key, np.inf), near - 1, 1)[:, :near], 1)
-        return np.take_along_axis(some, np.argsort(np.take_along_axis(key, some, 1), 1, kind="stable")[:, :k], 1)
-    return np.argsort(key, 1, kind="stable")[:, :k]
+#: Vectors of a tile at most, and their bytes as doubles: a tile of queries is held, and a tile of the base streams past it.
+BLOCK, TILE_BYTES = 32_768, 32 << 20
+#: Queries and base rows of one matrix product.
+ROWS, COLUMNS = 1024, 4096
+#: Tiles of a table that has some thousands of rows, at least, so that all cores have work.
+LEAST_TILES = 6
+#: Rows of an output batch, and bytes of the vectors whose scores are computed at once.
+OUT_ROWS, PAIR_BYTES = 1 << 16, 16 << 20
 
 
 def batch_knn(queries: DataFrame, base: DataFrame, k: int | None, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None, itself: bool = False) -> DataFrame:
     """(src, dst, score): exact ``k`` best of ``base`` for each row of ``queries``; ``cosine`` falls, ``l2`` rises.
 
-    Both sides are cut into blocks; each pair of blocks is one matrix product, from which k candidates a query go on, so
-    what is shuffled is rows times blocks of the base times k, never all pairs. Ties go to the smaller id. Without ``k`` all
-    pairs that reach ``least`` come out.
+    Both sides are cut into tiles; a task holds one tile of queries with the best so far and the tile of the base streams past it
+    in matrix products, so memory is a tile's, whatever the table. All pairs are looked at, but what is shuffled is each side
+    once a tile of the other, and k candidates a query and tile of the base. Ties go to the smaller id. Only scores of ``least`` or
+    more count. Without ``k`` all pairs that reach ``least`` come out.
     """
-    blocks = max(1, -(-base.count() // BLOCK))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    b = base.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    b = b.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    parts = max(1, -(-queries.count() // BLOCK))
-    q = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    found = _compared(q.crossJoin(b).repartition("part", "block").withColumn("grp", F.lit("")), k, metric, least, itself).drop("grp")
+    q, b = (df.select(F.lit("").alias("grp"), F.col(id_col).cast("long").alias("id"), _vector(df, vec_col)) for df in (queries, base))
+    shares = _tiles(b)
+    parts = shares if queries is base else _tiles(q)
+    found = _compared(*_dealt(q, b, F.lit(parts), F.lit(shares)), k, metric, least, itself, parts * shares).drop("grp")
     if k is None:
         return found
     return first_per_group(found, ["src"], _best_first(metric), k)
@@ -111,58 +105,211 @@ def _best_first(metric: str) -> list[Column]:
     return [order.desc() if metric == "cosine" else order.asc(), F.col("dst")]
 
 
-def _compared(pairs: DataFrame, k: int | None, metric: str, least: float | None, itself: bool) -> DataFrame:
-    """(grp, src, dst, score): the k best of each block ``rows`` for each vector of the block ``queries`` beside it."""
+def _vector(df: DataFrame, name: str) -> Column:
+    """Floats stay floats, which halves what is shuffled; anything else becomes doubles."""
+    return (F.col(name) if df.schema[name].dataType.simpleString() == "array<float>" else F.col(name).cast("array<double>")).alias("v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(cell) -> tuple[np.ndarray, np.ndarray]:
-            rows = cell.values
-            return rows.field("id").to_numpy(), rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
+def _tiles(rows: DataFrame) -> int:
+    n, d = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    return max(1, -(-n // _tile_rows(max(1, d or 1))), min(LEAST_TILES, -(-n // 2048)))
+
+
+def _tile_rows(d: int) -> int:
+    return max(1, min(BLOCK, TILE_BYTES // (8 * d)))
+
+
+def _dealt(q: DataFrame, b: DataFrame, parts: Column, shares: Column) -> tuple[DataFrame, DataFrame]:
+    """Queries and base (grp, id, v) with ``part`` and ``share``: each query is in its part of every share, each row of the base in its
+    share of every part."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    q = q.select("grp", own(parts).alias("part"), every(shares).alias("share"), "id", "v")
+    return q, b.select("grp", every(parts).alias("part"), own(shares).alias("share"), "id", "v")
+
+
+def _compared(q: DataFrame, b: DataFrame, k: int | None, metric: str, least: float | None, itself: bool, units: int | None = None) -> DataFrame:
+    """(grp, src, dst, score): the k best base rows of each (grp, part, share) for each of its queries."""
+    side = lambda df, n: df.select("grp", "part", "share", F.lit(n).alias("side"), "id", "v")
+    if q.schema["v"].dataType != b.schema["v"].dataType:
+        q, b = (df.withColumn("v", F.col("v").cast("array<double>")) for df in (q, b))
+    unit = ["grp", "part", "share"]
+    both = side(q, 0).unionByName(side(b, 1))
+    both = both.repartition(units, *unit) if units else both.repartition(*unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile = None, None
         for batch in batches:
-            for group, left, right in zip(*batch.columns, strict=True):
-                (qi, qv), (bi, bv) = table(left), table(right)
-                order = np.argsort(bi)
-                bi, bv = bi[order], bv[order]
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        s = np.nan_to_num((qv @ bv.T) / (np.linalg.norm(qv, axis=1)[:, None] * np.linalg.norm(bv, axis=1)))
-                    key = -s
-                else:
-                    s = np.sqrt(np.maximum(0, (qv**2).sum(1)[:, None] + (bv**2).sum(1) - 2 * qv @ bv.T))
-                    key = s.copy()
-                if not itself:
-                    key[qi[:, None] == bi] = np.inf
-                if least is not None:
-                    key[s < least] = np.inf
-                if k is None:
-                    rows, cols = np.nonzero(np.isfinite(key))
+            for key, asks, ids, v in _pieces(batch):
+                if key != now:
+                    if tile:
+                        yield from tile.end()
+                    now, tile = key, _Tile(key[0], k, metric, least, itself)
+                if asks:
+                    tile.ask(ids, v)
                 else:
-                    take = _least(key, k)
-                    rows, cols = np.repeat(np.arange(len(qi)), take.shape[1]), take.ravel()
-                ok = np.isfinite(key[rows, cols])
-                src, dst, score = pa.array(qi[rows[ok]]), pa.array(bi[cols[ok]]), pa.array(s[rows[ok], cols[ok]])
-                yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(src), pa.string()), src, dst, score], ["grp", "src", "dst", "score"])
+                    yield from tile.meet(ids, v)
+        if tile:
+            yield from tile.end()
+
+    return both.sortWithinPartitions(*unit, "side", "id").mapInArrow(run, "grp string, src long, dst long, score double")
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """((grp, part, share), whether it is queries, ids, vectors) of the runs of a batch that is sorted by them."""
+    grp, part, share, side, ids, v = batch.columns
+    codes = [grp.dictionary_encode().indices.to_numpy(), *(c.to_numpy() for c in (part, share, side))]
+    ends = np.flatnonzero(reduce(np.logical_or, (c[1:] != c[:-1] for c in codes))) + 1
+    for a, z in zip([0, *ends], [*ends, len(batch)], strict=True):
+        if z > a:
+            rows = v.slice(a, z - a)
+            yield (grp[int(a)].as_py(), int(codes[1][a]), int(codes[2][a])), codes[3][a] == 0, ids.slice(a, z - a).to_numpy(), rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+class _Tile:
+    """A tile of queries, each with its best of the base rows that came so far, in order of id.
+
+    A product of matrices only chooses which pairs may count, with a margin for its rounding errors: for ``cosine`` of unit vectors in single
+    precision, for ``l2`` of (q, 1) and (b, -b.b/2), whose order is that of the distances. The scores of the chosen pairs are
+    then computed one by one in doubles, so they don't depend on tiles, and equal vectors are at distance 0.
+    """
 
-    return pairs.select("grp", "queries", "rows").mapInArrow(run, "grp string, src long, dst long, score double")
+    def __init__(self, group: str, k: int | None, metric: str, least: float | None, itself: bool):
+        self.group, self.k, self.cosine, self.least, self.itself = group, k, metric == "cosine", least, itself
+        self.asked, self.held, self.n, self.ids = [], [], 0, None
+
+    def ask(self, ids: np.ndarray, v: np.ndarray) -> None:
+        self.asked.append((ids, v))
+
+    def meet(self, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not self.asked and self.ids is None:
+            return
+        self.held.append((ids, v))
+        self.n += len(ids)
+        if self.n >= COLUMNS:
+            yield from self._flush()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield from self._flush()
+        if self.k and self.ids is not None:
+            for at in range(0, len(self.ids), ROWS):
+                rows, cols = np.nonzero(self.best[at : at + ROWS] > -np.inf)
+                yield from self._batches(self.ids[at + rows], self.dst[at + rows, cols], self.score[at + rows, cols])
+
+    def _batches(self, src: np.ndarray, dst: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(src), OUT_ROWS):
+            cut_ = slice(at, at + OUT_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([self.group] * len(src[cut_]), pa.string()), *map(pa.array, (src[cut_], dst[cut_], score[cut_]))], ["grp", "src", "dst", "score"])
+
+    def _sized(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Norms, and the vectors as factors of a product: unit vectors for ``cosine``, where a vector without a direction is zero."""
+        wide = v.astype(np.float64)
+        with np.errstate(all="ignore"):
+            norm = np.linalg.norm(wide, axis=1)
+            if not self.cosine:
+                return norm, wide
+            return norm, np.where(np.isfinite(norm) & (norm > 0), 1, 0)[:, None] * np.nan_to_num(wide / norm[:, None], posinf=0, neginf=0).astype(np.float32)
+
+    def _flush(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is None:
+            self.ids, self.v = (np.concatenate(x) for x in zip(*self.asked, strict=True))
+            self.asked = []
+            self.norm, self.left = self._sized(self.v)
+            if not self.cosine:
+                self.left = np.hstack([self.left, np.ones((len(self.left), 1))])
+            self.left = self.left.astype(np.float32 if self.cosine else np.float64)
+            if self.k:
+                self.best, self.dst, self.score = np.full((len(self.ids), self.k), -np.inf), np.zeros((len(self.ids), self.k), np.int64), np.zeros((len(self.ids), self.k))
+        ids, v = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        for at in range(0, len(ids), COLUMNS):
+            yield from self._block(ids[at : at + COLUMNS], v[at : at + COLUMNS])
+
+    def _block(self, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        norm, right = self._sized(v)
+        with np.errstate(all="ignore"):
+            right = right.astype(np.float32) if self.cosine else np.hstack([right, -(norm**2)[:, None] / 2])
+        most = float(np.max(norm, initial=0, where=np.isfinite(norm)))
+        for at in range(0, len(self.ids), ROWS):
+            some = slice(at, at + ROWS)
+            with np.errstate(all="ignore"):
+                t = self.left[some] @ right.T
+            if not self.itself:
+                first, end = np.searchsorted(ids, self.ids[some]), np.searchsorted(ids, self.ids[some], "right")
+                while len(own := np.flatnonzero(first < end)):
+                    t[own, first[own]] = -np.inf
+                    first[own] += 1
+            bound = self._bound(t, some, most, v.shape[1])
+            places = np.flatnonzero(t > bound[:, None].astype(t.dtype))
+            if len(places):
+                rows, cols = np.divmod(places, t.shape[1])
+                yield from self._chosen(at, rows, cols, ids, v, norm)
+
+    def _bound(self, t: np.ndarray, some: slice, most: float, d: int) -> np.ndarray:
+        """What a product must exceed to count, for each query: less than that of the k-th best so far, by more than errors may be."""
+        norm = np.where(np.isfinite(self.norm[some]), self.norm[some], 0)
+        if self.cosine:
+            margin = np.full(len(t), (d + 8) * 1.2e-7)
+        else:
+            margin = (d + 8) * 2.3e-16 * (norm + most) ** 2
+        lowest = -np.inf if self.least is None or not self.cosine else self.least - margin[0]
+        if not self.k:
+            return np.full(len(t), lowest)
+        worst = self.best[some, -1]
+        with np.errstate(all="ignore"):
+            bound = worst - margin if self.cosine else (norm**2 - worst**2) / 2 - 2 * margin
+        new = worst == -np.inf
+        bound[new] = -np.inf
+        seen = min(t.shape[1], max(512, 4 * self.k))
+        if lowest == -np.inf and seen > self.k and new.any():
+            with np.errstate(all="ignore"):
+                bound[new] = np.partition(np.nan_to_num(t[new, :seen], nan=-np.inf, neginf=-np.inf), seen - self.k, axis=1)[:, seen - self.k] - 4 * margin[new]
+        return np.maximum(bound, lowest)
+
+    def _chosen(self, at: int, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, v: np.ndarray, norm: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Puts the chosen pairs among the best of their queries, or gives them out."""
+        s, step = np.empty(len(rows)), max(1, PAIR_BYTES // (8 * v.shape[1]))
+        for a in range(0, len(rows), step):
+            r, c = at + rows[a : a + step], cols[a : a + step]
+            left, right = self.v[r].astype(np.float64), v[c].astype(np.float64)
+            with np.errstate(all="ignore"):
+                s[a : a + step] = np.nan_to_num(np.einsum("ij,ij->i", left, right) / (self.norm[r] * norm[c])) if self.cosine else np.sqrt(((left - right) ** 2).sum(1))
+        good = np.isfinite(s) if self.least is None else s >= self.least
+        if not self.itself:
+            good &= self.ids[at + rows] != ids[cols]
+        if not self.k:
+            yield from self._batches(self.ids[at + rows[good]], ids[cols[good]], s[good])
+            return
+        key = np.round(s, 12) * (1 if self.cosine else -1)
+        good &= key > self.best[at + rows, -1]  # an equal one has a larger id
+        rows, key, dst, s = at + rows[good], key[good], ids[cols[good]], s[good]
+        if not len(rows):
+            return
+        touched = np.unique(rows)
+        old = self.best[touched] > -np.inf
+        rows = np.concatenate([np.repeat(touched, old.sum(1)), rows])
+        key, dst, s = (np.concatenate([x[touched][old], y]) for x, y in ((self.best, key), (self.dst, dst), (self.score, s)))
+        order = np.lexsort((-key, rows))  # stable: of equal ones those with smaller ids come first
+        rows, key, dst, s = rows[order], key[order], dst[order], s[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        kept = place < self.k
+        for x, y in ((self.best, key), (self.dst, dst), (self.score, s)):
+            x[rows[kept], place[kept]] = y[kept]
 
 
 def knn_within(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", least: float | None = None, itself: bool = False) -> DataFrame:
     """(grp, src, dst, score): the k best rows of ``base`` for each query in each group (grp, id, v) that both have, group by group
-    and block by block; not yet ranked over the blocks of a group.
+    and tile by tile; not yet ranked over the tiles of a group.
 
-    A group of any size is dealt into shares of about a block of base rows, and each query of the group meets every share; where
-    a share has more than 16 blocks of queries, it is copied, so that no task holds a large group.
+    A group of any size is dealt into tiles of queries and of base rows, and each tile of queries meets every one of the base, so that
+    no task holds a large group.
     """
-    size = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    groups = size(base, "shares").join(size(queries, "parts"), "grp").withColumn("copies", F.ceil(F.col("parts") / 16).cast("int"))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    rows = F.collect_list(F.struct("id", "v"))
-    b = base.join(groups, "grp").withColumn("share", dealt("shares")).groupBy("grp", "share", "copies").agg(rows.alias("rows"))
-    b = b.select("grp", "share", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "rows")
-    q = queries.join(groups, "grp").withColumn("part", dealt("parts")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    q = q.groupBy("grp", "share", "part", F.pmod("part", "copies").alias("copy")).agg(rows.alias("queries"))
-    return _compared(q.join(b, ["grp", "share", "copy"]), k, metric, least, itself)
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(TILE_BYTES) / (8 * F.greatest(F.lit(1), F.max(F.size("v")))))))
+    size = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    groups = size(base, "shares").join(size(queries, "parts"), "grp")
+    q, b = queries.join(groups, "grp"), base.join(groups, "grp")
+    return _compared(*_dealt(q, b, F.col("parts"), F.col("shares")), k, metric, least, itself)
 
 
 def group_knn(df: DataFrame, k: int, group: str, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding", least: float | None = None) -> DataFrame:

@@ -105,7 +105,7 @@ def v8_approximate_knn(t: Tables) -> DataFrame:
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM vec a JOIN vec b ON a.vec_id <> b.vec_id) WHERE rank <= 8 AND sim >= 0.3""")
 def d12_similarity_graph(t: Tables) -> DataFrame:
     e = t.embeddings
-    k = topk.batch_knn(e, e, 8).filter("score >= 0.3")
+    k = topk.batch_knn(e, e, 8, least=0.3)
     return k.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), r6(F.col("score"), "weight")).distinct()
 
 

@@ -232,6 +232,27 @@ def test_batch_knn_is_exact(spark):
     assert all(got[i, k + 1] == np.argsort(-s[i])[k] for i in range(60) for k in range(3))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_batch_knn_streams_tiles(spark, monkeypatch, metric):
+    """Single vectors go to the workers, no lists of them, and tiles of any size give the same neighbours; equal vectors tie by id."""
+    for name, n in (("BLOCK", 16), ("ROWS", 5), ("COLUMNS", 6)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(70, 4)).astype(np.float32).astype(float)
+    v[10:40:3] = v[1]
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    n = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(-(n @ n.T) if metric == "cosine" else np.linalg.norm(v[:, None] - v, axis=2), 12)
+    want = {(i, k + 1): j for i in range(70) for k, j in enumerate(sorted((j for j in range(70) if j != i), key=lambda j: (s[i, j], j))[:4])}
+    found = topk.batch_knn(df, df, 4, metric)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    assert {(r["src"], r["rank"]): r["dst"] for r in rows} == want
+    assert metric == "cosine" or all(r["score"] == 0 for r in rows if r["src"] in range(10, 40, 3))
+    pairs = {(r["src"], r["dst"]) for r in topk.batch_knn(df, df, None, least=0.5).collect()}
+    assert pairs == {(i, j) for i in range(70) for j in range(70) if i != j and (n @ n.T)[i, j] >= 0.5}
+
+
 def test_learners(spark):
     docs = spark.createDataFrame([(1, "abababab"), (2, ""), (3, None)], "doc_id long, text string")
     m = learners.pair_merges(docs, 5).collect()
