@@ -141,6 +141,48 @@ def test_ingested_texts_round_trip(spark):
     assert kids.count() == kids.dropDuplicates(["parent", "ordinal"]).count() and kids.filter("parent = child").count() == 0
 
 
+@needs_data
+@pytest.mark.parametrize("name", sorted(n for n in catalog.SQL if catalog.QUERIES[n].__closure__[0].cell_contents.__module__.endswith("composition_queries")))
+def test_compositions_write_no_edges(spark, monkeypatch, name):
+    """Only nodes are shuffled: no query over all documents writes or shuffles (parent, ordinal, child)."""
+    monkeypatch.setattr(compositions, "ingested", None)
+    monkeypatch.setattr(compositions, "cut", None)
+    found = catalog.QUERIES[name](spark, DATA)
+    assert "ordinal#" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folded_texts_equal_the_edge_tables(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab .!\n") for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "a", "ab", "aa. aa."]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    children, leaves = compositions.ingested(df)
+    want = {tuple(r) for r in compositions.statistics(children, leaves).select("node", "level", "child_count", "atom_count").collect()}
+    assert {tuple(r) for r in compositions.counted(df).collect()} == want
+    edges = [tuple(r) for r in children.select("parent", "child").collect()]
+    got = {r["node"]: r["parents"] for r in compositions.parent_counts(df).collect()}
+    assert got == dict(Counter(c for _, c in set(edges)))
+    assert {r["node"] for r in compositions.whole_texts(df, 2, 400).collect()} == {p for p, _ in edges} - {c for _, c in edges}
+    below = {(r["root"], r["node"]) for r in graph.descendants(children, df.filter("text <> ''").select(F.md5("text").alias("root")).distinct(), 8).filter("depth > 0").collect()}
+    mine = {n for r, n in below if r == hashlib.md5(b"aa. aa.").hexdigest()}
+    shared = Counter(r for r, n in below if n in mine and r != hashlib.md5(b"aa. aa.").hexdigest())
+    assert dict(map(tuple, compositions.shared_parts(df, "aa. aa.").collect())) == dict(shared)
+
+
+def test_checks_of_nodes_find_planted_faults(spark):
+    def row(name, *rest):
+        return (name.encode(), *rest)
+
+    good = [row("a", False, True, 0, -1, 1, 1), row("ab", False, False, 2, 1, 2, 2), row("b", False, True, 0, -1, 1, 1), row("a", True, *[None] * 5), row("b", True, *[None] * 5)]
+    bad = {
+        "orphan_children": [row("x", True, *[None] * 5)], "leaves_with_children": [row("c", False, True, 1, 0, 1, 1)], "atom_count": [row("d", False, False, 2, 1, 3, 2)],
+        "child_count": [row("ab", False, False, 3, 2, 2, 2)], "ordinal_gaps": [row("e", False, False, 2, 2, 2, 2)],
+    }
+    check = lambda rows: dict(map(tuple, compositions.checked_nodes(spark.createDataFrame(rows, compositions.CHECKED)).collect()))
+    assert check(good) == dict.fromkeys(bad, 0)
+    for name, rows in bad.items():
+        assert check(good + rows) == dict.fromkeys(bad, 0) | {name: 1}
+
+
 def test_places_in_a_total_order(spark):
     df = spark.createDataFrame([((i * 37) % 101, i % 5) for i in range(101)], "a long, b long")
     got = [(r["a"], r["place"]) for r in topk.placed(df, [F.desc("a")], parts=6).orderBy("place").collect()]
