@@ -123,6 +123,13 @@ def distance(ahi: Column, alo: Column, bhi: Column, blo: Column) -> tuple[Column
     return (xh - yh - F.when(borrow, one).otherwise(zero)).cast(_WORD), (xl - yl + F.when(borrow, word).otherwise(zero)).cast(_WORD)
 
 
+def carried(hi: Column, lo: Column) -> tuple[Column, Column]:
+    """Halves of a key whose low half, a whole decimal not under 0, may exceed 64 bits: what it has beyond goes to the high half."""
+    word = F.lit("18446744073709551616").cast("decimal(38,0)")
+    low = _wide(lo) % word
+    return (_wide(hi) + ((_wide(lo) - low) / word).cast("decimal(20,0)")).cast(_WORD), low.cast(_WORD)
+
+
 def rough_distance(ahi: Column, alo: Column, bhi: Column, blo: Column) -> Column:
     """|difference of high halves| * 2^63 + |difference of low halves|, in double."""
     return F.abs(ahi.cast("double") - bhi.cast("double")) * 9223372036854775808.0 + F.abs(alo.cast("double") - blo.cast("double"))
