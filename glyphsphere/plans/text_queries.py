@@ -121,11 +121,15 @@ PAIRS = f"WITH {TOKS}, pr AS (SELECT word AS a, lead(word) OVER (PARTITION BY do
 
 
 def pair_counts(t: Tables) -> DataFrame:
-    """(a, b, n): each word before each following one, null at the end of a text: the counts of words and of pairs are sums of it.
-    The pairs are made inside the row, so no text is shuffled."""
+    """(a, b, n): each word before each following one, null at the end of a text: the counts of words and of pairs are sums of it."""
+    return cut(word_pairs(t).groupBy("a", "b").agg(F.count("*").alias("n")))
+
+
+def word_pairs(t: Tables) -> DataFrame:
+    """(a, b) of each word and the following one, null at the end of a text. The pairs are made inside the row, so no text is shuffled."""
     w = t.documents.select(T.tokens(F.col("text")).alias("w"))
     both = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return cut(w.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    return w.select(F.explode(both).alias("p")).select("p.a", "p.b")
 
 
 def unigrams(pairs: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def a24_j9_bigrams(t: Tables) -> DataFrame:
 @query(f"{PAIRS} SELECT DISTINCT src, dst, 1.0::DOUBLE AS weight FROM (SELECT a AS src, b AS dst FROM bi UNION ALL SELECT b, a FROM bi)")
 def d8_pair_edges(t: Tables) -> DataFrame:
     """Edges of weight 1 in both directions between words that stand side by side."""
-    return graph.both_ways(bigrams(pair_counts(t)).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("weight", F.lit(1.0))
+    return graph.both_ways(bigrams(word_pairs(t)).select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("weight", F.lit(1.0))
 
 
 def pmi(pairs: DataFrame, least: int = 2) -> DataFrame:
