@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,11 @@ def descendants(children: DataFrame, roots: DataFrame, max_depth: int) -> DataFr
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Distinct (src, dst) in both directions."""
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """Distinct (src, dst) in both directions. Edges are read once, and of both directions one is shuffled."""
+    once = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    way = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))
+    return once.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def shortest_paths(edges: DataFrame, start, most: int) -> DataFrame:
@@ -91,6 +95,8 @@ def laplacian(edges: DataFrame) -> DataFrame:
 
 #: Nodes up to which the dense eigenproblem goes to the driver; beyond it the same eigenvectors come from Lanczos steps.
 DENSE = 5000
+#: Edges up to which the Laplacian goes to the driver as a sparse matrix, and bytes of the basis there; beyond it the steps are joins.
+SPARSE, BASIS_BYTES = 4_000_000, 256 << 20
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -98,12 +104,13 @@ def _signed(v: np.ndarray) -> np.ndarray:
     return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
 
 
-def spectral_coordinates(edges: DataFrame, dims: int = 4, dense: int = DENSE) -> DataFrame:
+def spectral_coordinates(edges: DataFrame, dims: int = 4, dense: int = DENSE, sparse: int = SPARSE) -> DataFrame:
     """(node, c0..c3): the eigenvectors of the smallest non-trivial eigenvalues, signs fixed, orthonormal."""
+    edges = cut(edges.select("src", "dst", "weight"))
     entries = laplacian(edges)
     nodes = [r[0] for r in entries.select("i").distinct().orderBy("i").limit(dense + 1).collect()]
     if len(nodes) > dense:
-        return lanczos_coordinates(edges, dims)
+        return sparse_coordinates(edges, dims) if edges.count() <= sparse else lanczos_coordinates(edges, dims)
     at = {n: k for k, n in enumerate(nodes)}
     a = np.zeros((len(nodes), len(nodes)))
     for r in entries.collect():
@@ -114,6 +121,55 @@ def spectral_coordinates(edges: DataFrame, dims: int = 4, dense: int = DENSE) ->
     return edges.sparkSession.createDataFrame([(n, *map(float, v[k])) for k, n in enumerate(nodes)], ["node", *names])
 
 
+def sparse_coordinates(edges: DataFrame, dims: int = 4, most: int = 200, tolerance: float = 1e-6) -> DataFrame:
+    """As ``lanczos_coordinates``, with the matrix and a basis of bounded bytes on the driver: when the basis is full, the best of its Ritz
+    vectors begin the next one. It raises after ``most`` full bases."""
+    table = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).toArrow()
+    src, dst, weight = (table[c].to_numpy() for c in ("src", "dst", "weight"))
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    n, rows, cols, both = len(nodes), at, np.concatenate([at[len(src) :], at[: len(src)]]), np.concatenate([weight, weight])
+    order = np.argsort(rows, kind="stable")
+    rows, cols, both = rows[order], cols[order], both[order]
+    degree = np.bincount(rows, both, n)
+    product = lambda v: degree * v - np.bincount(rows, both * v[cols], n)
+    size = int(max(8 * dims, min(n - 1, 600, BASIS_BYTES // (8 * n))))
+    q, t = np.zeros((size + 1, n)), np.zeros((size, size))
+
+    def orthogonal(w: np.ndarray, j: int) -> np.ndarray:
+        for _ in range(2):
+            w = w - w.mean()
+            w = w - q[:j].T @ (q[:j] @ w)
+        return w
+
+    first = orthogonal(np.random.default_rng(1).uniform(-0.5, 0.5, n), 0)
+    q[0], j, scale = first / np.linalg.norm(first), 0, 2 * degree.max()
+    for _ in range(most):
+        while True:
+            w = product(q[j])
+            t[j, j] = q[j] @ w
+            w = orthogonal(w, j + 1)
+            beta, j = np.linalg.norm(w), j + 1
+            spent = j >= n - 1 or beta <= 1e-12 * scale
+            if not spent:
+                q[j] = w / beta
+            if spent or j == size or j % 25 == 0:
+                values, y = np.linalg.eigh(t[:j, :j])
+                wanted = np.nonzero(values > 1e-9 * scale)[0][:dims]
+                if spent or (len(wanted) == dims and (beta * np.abs(y[-1, wanted]) < tolerance * values[-1]).all()):
+                    c = _signed((y[:, wanted].T @ q[:j]).T)
+                    return edges.sparkSession.createDataFrame(pa.table([pa.array(nodes), *(pa.array(np.ascontiguousarray(x)) for x in c.T)], ["node", *(f"c{k}" for k in range(c.shape[1]))]))
+            if j == size:
+                break
+            t[j, j - 1] = t[j - 1, j] = beta
+        kept = min(size // 2, int(np.sum(values <= 1e-9 * scale)) + 4 * dims)
+        q[:kept], q[kept] = y[:, :kept].T @ q[:size], q[size].copy()
+        t[:] = 0
+        t[range(kept), range(kept)] = values[:kept]
+        t[kept, :kept] = t[:kept, kept] = beta * y[-1, :kept]
+        j = kept
+    raise RuntimeError(f"the eigenvectors need more than {most} bases of {size} vectors")
+
+
 def lanczos_coordinates(edges: DataFrame, dims: int = 4, most: int = 300, tolerance: float = 1e-6) -> DataFrame:
     """As ``spectral_coordinates``, for any number of nodes: Lanczos steps with full orthogonalisation.
 

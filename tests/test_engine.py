@@ -252,6 +252,61 @@ def test_lanczos_equals_the_dense_eigenvectors(spark):
     assert np.allclose(np.abs((dense * steps).sum(0)), 1, atol=1e-4) and np.allclose(steps.T @ steps, np.eye(4), atol=1e-6)
 
 
+def test_sparse_steps_equal_the_dense_eigenvectors(spark, monkeypatch):
+    """Few and many steps, with a basis that is full before they are done; and no step is a job."""
+    monkeypatch.setattr(graph, "lanczos_coordinates", None)
+    rng = np.random.default_rng(6)
+    pairs = {(i, i + 1) for i in range(299)} | {tuple(sorted(map(int, rng.choice(300, 2, False)))) for _ in range(600)}
+    df = spark.createDataFrame([(i, j, float(rng.uniform(0.2, 1))) for i, j in sorted(pairs)], "src long, dst long, weight double")
+    dense = np.array([list(r)[1:] for r in graph.spectral_coordinates(df).orderBy("node").collect()])
+    for size in (1 << 28, 8 * 300 * 40):
+        monkeypatch.setattr(graph, "BASIS_BYTES", size)
+        steps = np.array([list(r)[1:] for r in graph.spectral_coordinates(df, dense=5).orderBy("node").collect()])
+        assert np.allclose(np.abs((dense * steps).sum(0)), 1, atol=1e-4) and np.allclose(steps.T @ steps, np.eye(4), atol=1e-6)
+
+
+def test_joined_steps_equal_the_dense_eigenvectors(spark):
+    df = spark.createDataFrame([(i, i + 1, 1.0 + i % 3) for i in range(14)], "src long, dst long, weight double")
+    dense, steps = (np.array([list(r)[1:] for r in graph.spectral_coordinates(df, dense=d, sparse=0).orderBy("node").collect()]) for d in (20, 5))
+    assert np.allclose(np.abs((dense * steps).sum(0)), 1, atol=1e-4)
+
+
+def test_edges_both_ways(spark):
+    e = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "c"), ("a", "d")], "src string, dst string")
+    assert sorted(map(tuple, graph.both_ways(e).collect())) == [("a", "b"), ("a", "d"), ("b", "a"), ("c", "c"), ("d", "a")]
+    plan = graph.both_ways(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "Union" not in plan
+
+
+def tables_in(spark, folder, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def equals_sql(spark, folder, name):
+    con = duckdb.connect()
+    for d in Path(folder).iterdir():
+        con.sql(f"CREATE VIEW {d.stem} AS SELECT * FROM '{d}/*.parquet'")
+    return canon(catalog.QUERIES[name](spark, folder).toPandas()) == canon(con.sql(catalog.SQL[name]).df())
+
+
+def test_wide_distances_of_large_keys(spark, tmp_path):
+    folder = tables_in(spark, tmp_path, orders=([(50, 7), (1, 8132), (2, 1500), (60_000_000, 5_400_000), (3, 0)], "o_orderkey long, o_custkey long"))
+    assert equals_sql(spark, folder, "hb3_wide_distance")
+
+
+@pytest.mark.parametrize("name", ["a22_category_distribution", "t1_t2_characters"])
+def test_characters_of_an_empty_text(spark, tmp_path, name):
+    folder = tables_in(spark, tmp_path, documents=([(1, ""), (2, "aé\n"), (3, None), (4, "\0🎉e\u0301")], "doc_id long, text string"))
+    assert equals_sql(spark, folder, name)
+
+
+@needs_data
+def test_places_of_characters_need_no_table_of_atoms(spark):
+    assert "Join" not in catalog.QUERIES["j12_ordered_characters"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bridges_connect_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (2, 4), (5, 6), (8, 7), (7, 9)], "src long, dst long")
     assert sorted(map(tuple, graph.bridges(e).collect())) == [(2, 5), (2, 7)]
